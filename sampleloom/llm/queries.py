@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", "op1_query", "OP1_SQL"),
+    "op2_minhash_dedup": ("near_dedup", "op2_query", None),
     "op3_line_dedup": ("line_dedup", "op3_query", "OP3_SQL"),
     "op5_url_filter": ("url_filter", "op5_query", "OP5_SQL"),
 }
