@@ -9,10 +9,10 @@
 3.  A bucket of several representatives gives star-shaped edges to one centre.
     Edges are confirmed on the full sets.  Where a bucket still spans several
     components, the member with the most links becomes the next centre, and
-    last the members outside the bucket's largest component are compared with
-    the rest of the bucket.  So every two members of a bucket end in one
-    component, are compared, or are ruled out by size or by the triangle
-    inequality of the Jaccard distance to the first centre.  No bucket is
+    last the members outside the largest component are compared with the rest
+    of the bucket, in blocks of bounded size.  So every two members of a bucket end in one
+    component, are compared, or are ruled out by size or by the number of
+    their shingles that no other open document has.  No bucket is
     capped and no link between different sets of a bucket is lost.
 
 With 40 bands of 5 rows, two sets of similarity 0.8 share a bucket with
@@ -35,6 +35,7 @@ from sampleloom.llm.shared import materialise, read_table
 from sampleloom.llm.text_arrays import mix, words_of
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 40, 5
+CHUNK = 256
 
 _U = np.uint64
 _PROBES = (16, 256, 4096)
@@ -138,6 +139,9 @@ def _set_maker(words: int):
 def _pairs(rows: DataFrame, other: str, percent: int) -> DataFrame:
     """Distinct pairs a < b of id and ``other`` whose sizes allow the similarity."""
     fits = F.least("n", f"{other}_n") * 100 >= F.greatest("n", f"{other}_n") * percent
+    if "common" in rows.columns:
+        most = F.least("common", f"{other}_common")
+        fits = fits & (most * 100 >= (F.col("n") + F.col(f"{other}_n") - most) * percent)
     return rows.where(fits & (F.col("id") != F.col(other))).select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
 
 
@@ -187,16 +191,16 @@ def near_duplicates(
     links = compared.where("linked").select("a", "b")
     found = components(links)
 
-    for last in (False, True):
-        open_rows = _open_buckets(buckets, found)
-        if open_rows.isEmpty():
-            break
-        pairs = _straggler_pairs(open_rows, compared, percent) if last else _hub_pairs(open_rows, links, percent)
-        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(_confirmed(pairs, sets, percent), "pairs-more")
-        compared = compared.union(more)
-        links = compared.where("linked").select("a", "b")
+    open_rows = _open_buckets(buckets, found)
+    if not open_rows.isEmpty():
+        buckets = _linkable(open_rows, sets, percent)
+        pairs = _hub_pairs(_open_buckets(buckets, found), links, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.union(materialise(_confirmed(pairs, sets, percent), "pairs-hub").where("linked").select("a", "b"))
         found = components(links)
+        open_rows = _open_buckets(buckets, found)
+        if not open_rows.isEmpty():
+            links = links.union(materialise(_straggler_links(_clusters(open_rows, links), sets, percent), "links-last"))
+            found = components(links)
 
     classed = sketch.select("id", "n", "digest").join(classes, "digest", "left")
     own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))
@@ -206,32 +210,85 @@ def near_duplicates(
 
 def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of buckets that span several components, with their component."""
-    labelled = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = buckets.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return materialise(labelled.join(spans, "key", "left_semi"), "open")
 
 
-def _hub_pairs(open_rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _linkable(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows that can have a link in an open bucket, with ``common``: how many shingles of the set another open document has.
+
+    An intersection has ``common`` shingles at most, so a document with fewer than ``percent`` of its set in common has no link here.
+    """
+    ids = open_rows.select(F.col("id").alias("open_id")).distinct()
+    members = sets.join(ids, F.col("id") == F.col("open_id"), "left_semi").select("id", F.explode("members").alias("member"))
+    alone = members.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.first("id").alias("id")).where("df = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    rows = open_rows.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return materialise(rows.where(F.col("common") * 100 >= F.col("n") * percent), "linkable")
+
+
+def _hubs(open_rows: DataFrame, links: DataFrame) -> DataFrame:
+    """key and the hub of each bucket: its member with the most links."""
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     ranked = open_rows.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    order = F.struct("degree", F.xxhash64("id", "key"), "id")
-    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), order).alias("h"))
-    hubs = hubs.select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"))
-    return _pairs(open_rows.join(hubs, "key").where("component <> hub_component"), "hub", percent)
-
-
-def _straggler_pairs(open_rows: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """Members outside their bucket's largest component, with the members of other components they may still link to."""
-    reach = 1 - percent / 100 + 1e-9
-    far = compared.select(F.col("a").alias("id"), F.col("b").alias("centre"), "distance")
-    far = far.union(compared.select(F.col("b").alias("id"), F.col("a").alias("centre"), "distance"))
-    rows = open_rows.join(far, ["id", "centre"], "left").withColumn("distance", F.when(F.col("id") == F.col("centre"), 0.0).otherwise(F.col("distance")))
-    sizes = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
-    stragglers = rows.join(largest, "key").where("component <> largest")
-    s = stragglers.select("key", F.col("id").alias("s"), F.col("n").alias("s_n"), F.col("component").alias("sc"), F.col("distance").alias("sd"))
-    may = F.col("distance").isNull() | F.col("sd").isNull() | (F.abs(F.col("distance") - F.col("sd")) <= reach)
-    return _pairs(rows.join(s, "key").where((F.col("component") != F.col("sc")) & may), "s", percent)
+    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("id", "n", "common", "component"), F.struct("degree", F.xxhash64("id"), "id")).alias("h"))
+    return hubs.select("key", *[F.col(f"h.{c}").alias(h) for c, h in (("id", "hub"), ("n", "hub_n"), ("common", "hub_common"), ("component", "hub_component"))])
+
+
+def _hub_pairs(open_rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    return _pairs(open_rows.join(_hubs(open_rows, links), "key").where("component <> hub_component"), "hub", percent)
+
+
+def _clusters(open_rows: DataFrame, links: DataFrame) -> DataFrame:
+    """hub, id, component: the members of all open buckets that share a hub, once each."""
+    return materialise(open_rows.join(_hubs(open_rows, links), "key").select("hub", "id", "component").distinct(), "clusters")
+
+
+def _straggler_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links a, b between a cluster's largest component, and its other members, and among these.
+
+    Members and stragglers are dealt into chunks; a block holds one chunk of
+    either and compares them in place, so only links become rows and no group
+    exceeds ``2 * CHUNK`` sets or so.
+    """
+    sizes = clusters.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub")
+    sizes = sizes.agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("all"), F.max("m").alias("top"))
+    parts = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    sizes = sizes.select("hub", "largest", parts(F.col("all")).alias("m_parts"), F.greatest(F.lit(1), parts(F.col("all") - F.col("top"))).alias("s_parts"))
+    rows = clusters.join(sizes, "hub").join(sets, "id")
+    mine = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    member = rows.select("hub", "id", "component", F.lit(False).alias("straggler"), "members", mine("m_parts").alias("i"), every("s_parts").alias("j"))
+    straggler = rows.where("component <> largest").select(
+        "hub", "id", "component", F.lit(True).alias("straggler"), "members", every("m_parts").alias("i"), mine("s_parts").alias("j")
+    )
+    dealt = member.union(straggler).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    return dealt.groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        ids, labels, late = (block[c].to_numpy() for c in ("id", "component", "straggler"))
+        lists = block["members"].chunk(0) if block.num_rows else pa.array([], pa.list_(pa.int64()))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        _, code = np.unique(lists.values.to_numpy()[bounds[0] : bounds[-1]], return_inverse=True)
+        bounds = bounds - bounds[0]
+        sizes = np.diff(bounds)
+        a, b = [], []
+        for s in np.flatnonzero(late):
+            mark = np.zeros(len(code) + 1, dtype=np.int64)
+            mark[code[bounds[s] : bounds[s + 1]]] = 1
+            running = np.concatenate(([0], np.cumsum(mark[code])))
+            both = running[bounds[1:]] - running[bounds[:-1]]
+            good = (both * 100 >= (sizes + sizes[s] - both) * percent) & ~late & (labels != labels[s])
+            a.append(np.minimum(ids[good], ids[s]))
+            b.append(np.maximum(ids[good], ids[s]))
+        empty = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return run
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
