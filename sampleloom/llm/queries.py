@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_exact_dedup": ("exact_dedup", "op1_query", "OP1_SQL"),
     "op2_minhash_dedup": ("near_dedup", "op2_query", None),
     "op3_line_dedup": ("line_dedup", "op3_query", "OP3_SQL"),
+    "op4_best_fit_packing": ("packing", "op4_query", None),
     "op5_url_filter": ("url_filter", "op5_query", "OP5_SQL"),
 }
 

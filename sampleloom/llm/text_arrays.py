@@ -90,6 +90,61 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         lo = min(hi, n)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] of each span; spans that are not empty and do not overlap."""
+    n = len(data)
+    total = np.zeros(n + 1, dtype=_U)
+    value = _byte_value[data]
+    value *= _power(_BASE, n)
+    np.cumsum(value, out=total[1:])
+    hashes = (total[ends] - total[starts]) * _power(_BASE_INVERSE, n + 1)[starts]
+    return mix(hashes ^ mix((ends - starts).astype(_U) + _GOLDEN))
+
+
+def gather_runs(values: np.ndarray, lo: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """values[lo[k] : lo[k] + length[k]] for every k, end to end."""
+    total = int(length.sum())
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) if total else np.zeros(0, dtype=np.int64)
+    return values[at + np.arange(total)]
+
+
+class SpanMemory:
+    """Remembers what was computed for a span's hash: a run of numbers.  It is emptied when it holds ``limit`` spans."""
+
+    def __init__(self, limit: int):
+        self._limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self._keys = np.zeros(0, dtype=_U)
+        self._row = np.zeros(0, dtype=np.int64)
+        self._lo = np.zeros(0, dtype=np.int64)
+        self._length = np.zeros(0, dtype=np.int64)
+        self._values: np.ndarray = np.zeros(0, dtype=np.int32)
+
+    def resolve(self, hashes: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, and start and length of each span's run in them; ``compute(indices)`` gives the runs of spans not seen before."""
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self._keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self._keys)
+        known[inside] = self._keys[at[inside]] == keys[inside]
+        if not known.all():
+            if len(self._keys) + int((~known).sum()) > self._limit and len(self._keys):
+                self._clear()
+                at, known = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+            runs = compute(first[~known])
+            length = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+            lo = len(self._values) + np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
+            row = len(self._lo) + np.arange(len(runs))
+            self._keys = np.insert(self._keys, at[~known], keys[~known])
+            self._row = np.insert(self._row, at[~known], row)
+            self._lo, self._length = np.concatenate([self._lo, lo]), np.concatenate([self._length, length])
+            self._values = np.concatenate([self._values, np.concatenate([np.asarray(r, dtype=np.int32) for r in runs])])
+        row = self._row[np.searchsorted(self._keys, keys)][inverse]
+        return self._values, self._lo[row], self._length[row]
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
     at = offsets[lo : hi + 1] - offsets[lo]
     data = _lower[data[offsets[lo] : offsets[hi]]]
@@ -104,13 +159,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words
     before[1:] = gap[: n - 1]
     starts = np.flatnonzero(solid & (before | fresh[:n]))
     ends = np.flatnonzero(solid & (gap[1:] | fresh[1:])) + 1
-    value = _byte_value[data]
-    value *= _power(_BASE, n)
-    value[~solid] = 0
-    total = np.zeros(n + 1, dtype=_U)
-    np.cumsum(value, out=total[1:])
-    hashes = (total[ends] - total[starts]) * _power(_BASE_INVERSE, n + 1)[starts]
-    hashes = mix(hashes ^ mix((ends - starts).astype(_U) + _GOLDEN))
+    hashes = hash_spans(data, starts, ends)
     return Words(lo, hi, data, starts, ends, np.searchsorted(starts, at), hashes)
 
 
