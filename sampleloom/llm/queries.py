@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_line_dedup": ("line_dedup", "op3_query", "OP3_SQL"),
     "op4_best_fit_packing": ("packing", "op4_query", None),
     "op5_url_filter": ("url_filter", "op5_query", "OP5_SQL"),
+    "op7_language_id": ("language_id", "op7_query", None),
     "op10_token_counts": ("token_counts", "op10_query", None),
 }
 
