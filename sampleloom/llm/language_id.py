@@ -1,6 +1,7 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is the vector of its byte n-grams (one to three bytes, hashed to DIMS
+A text is lower-cased, its runs of other characters than letters become single
+spaces, and it is the vector of its byte n-grams (one to three bytes, hashed to DIMS
 dimensions), with dampened counts, inverse document frequencies and unit length.
 Document frequencies cover all training documents.  The centroids of each
 language come from spherical k-means on a bounded sample of its training
@@ -28,20 +29,17 @@ FIT_DOCS = 2400
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected below this part of the smallest cosine of the language's sample.
-REJECT_BELOW = 0.5
+REJECT_BELOW = 0.25
 UNKNOWN = "und"
 
-_lower = np.arange(256, dtype=np.uint32)
-_lower[65:91] += 32
-
-
 def gram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """First row and the counts of hashed n-grams (rows x DIMS) of runs of rows."""
+    column = pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{M}]+", " ")
     offsets, data = text_buffers(column)
     for lo, hi in row_slices(offsets):
         for a in range(lo, hi, 128):
             b = min(a + 128, hi)
-            text = _lower[data[offsets[a] : offsets[b]]]
+            text = data[offsets[a] : offsets[b]].astype(np.uint32)
             at = offsets[a : b + 1] - offsets[a]
             row = np.repeat(np.arange(b - a), np.diff(at))
             stop = at[1:][row] if len(row) else row
