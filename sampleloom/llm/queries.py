@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_best_fit_packing": ("packing", "op4_query", None),
     "op5_url_filter": ("url_filter", "op5_query", "OP5_SQL"),
     "op7_language_id": ("language_id", "op7_query", None),
+    "op9_hidden_markov": ("hidden_markov", "op9_query", None),
     "op10_token_counts": ("token_counts", "op10_query", None),
 }
 
