@@ -43,8 +43,9 @@ class WordTokenizer:
     """Ids of whole texts, with a bounded memory of the ids of words between ASCII white space.
 
     The vocabulary's normaliser lower-cases and folds white space, and its
-    splitter never lets a token span white space, so a text's ids are those of
-    its words in order.  New words are encoded together, kept apart by the end
+    splitter never lets a token span white space or a border between a letter
+    and a mark such as a full stop, so a text's ids are those of its words and
+    marks in order.  New words are encoded together, kept apart by the end
     marker that the library always cuts at.  Texts with ``<|``, which may spell
     a marker, are encoded whole.
     """
@@ -60,33 +61,34 @@ class WordTokenizer:
     def _encode(self, text: str) -> np.ndarray:
         return np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, end to end, and how many each has."""
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(words), 2048):
             ids = self._encode(self._marker.join(words[k : k + 2048]))
             cuts = np.flatnonzero(ids == self._marker_id)
-            out += np.split(ids, cuts)[:1] + [r[1:] for r in np.split(ids, cuts)[1:]]
-        return out
+            lengths.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+            flat.append(np.delete(ids, cuts))
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """Row number and ids of every text of a batch."""
-        for w in words_of(column):
+        for w in words_of(column, cut_marks=True):
             data = w.data.tobytes()
-            new = lambda at: self.encode_words([data[a:b].decode() for a, b in zip(w.starts[at], w.ends[at], strict=True)])  # noqa: B023, E731
             odd = np.zeros(w.hi - w.lo, dtype=bool)
-            starts, hashes = w.starts, w.hashes
+            plain = np.arange(len(w.starts))
             if b"<|" in data:
+                row = np.repeat(np.arange(w.hi - w.lo), np.diff(w.first))
                 marked = np.flatnonzero((w.data[:-1] == 60) & (w.data[1:] == 124))
-                word = np.searchsorted(w.starts, marked, side="right") - 1
-                odd[np.searchsorted(w.first, word, side="right") - 1] = True
-                hashes = hashes.copy()
-                hashes[np.isin(np.searchsorted(w.first, np.arange(len(starts)), side="right") - 1, np.flatnonzero(odd))] = 0
-            if len(hashes):
-                values, lo, length = self._memory.resolve(hashes, lambda at: [np.zeros(0, np.int32) if hashes[i] == 0 else r for i, r in zip(at, new(at), strict=True)])  # noqa: B023
-                ids = gather_runs(values, lo, length)
-                ends = np.concatenate(([0], np.cumsum(length)))[w.first]
-            else:
-                ids, ends = np.zeros(0, np.int32), np.zeros(w.hi - w.lo + 1, np.int64)
+                odd[row[np.searchsorted(w.starts, marked, side="right") - 1]] = True
+                plain = np.flatnonzero(~odd[row])
+            new = lambda at: self.encode_words([data[a:b].decode() for a, b in zip(w.starts[plain[at]].tolist(), w.ends[plain[at]].tolist(), strict=True)])  # noqa: B023, E731
+            lengths = np.zeros(len(w.starts), dtype=np.int64)
+            ids = np.zeros(0, np.int32)
+            if len(plain):
+                values, lo, lengths[plain] = self._memory.resolve(w.hashes[plain], new)
+                ids = gather_runs(values, lo, lengths[plain])
+            ends = np.concatenate(([0], np.cumsum(lengths)))[w.first]
             for r in range(w.hi - w.lo):
                 yield w.lo + r, (self._encode(column[w.lo + r].as_py()) if odd[r] else ids[ends[r] : ends[r + 1]])
 
@@ -94,19 +96,25 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def word_tokenizer(path: str | None = None) -> WordTokenizer:
+    """The tokenizer of this worker process for a vocabulary file."""
+    where = path or tokenizer_path(TOKENIZER)
+    if where not in _tokenizers:
+        _tokenizers[where] = WordTokenizer(where)
+    return _tokenizers[where]
+
+
 def _cutter(path: str | None, window: int, end_id: int, with_ids: bool):
     names = ["id", "piece", "start", "length", "crc32", "doc_tokens", *(["ids"] if with_ids else [])]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = path or tokenizer_path(TOKENIZER)
-        if where not in _tokenizers:
-            _tokenizers[where] = WordTokenizer(where)
+        coder = word_tokenizer(path)
         end = np.array([end_id], dtype=np.int32)
         for batch in batches:
             keys, out = batch.column(0).to_pylist(), {n: [] for n in names}
-            for row, ids in _tokenizers[where].encode(batch.column(1)):
+            for row, ids in coder.encode(batch.column(1)):
                 coded = np.concatenate([ids, end]).astype("<u4")
                 for k, start in enumerate(range(0, len(coded), window)):
                     piece = coded[start : start + window].tobytes()

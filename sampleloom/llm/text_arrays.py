@@ -26,6 +26,17 @@ _lower[65:91] += 32
 _space = np.zeros(256, dtype=bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 
+#: White space and all other ASCII that is neither a letter nor a digit.
+SYMBOLS = _space.copy()
+SYMBOLS[[c for c in range(128) if not chr(c).isalnum()]] = True
+
+
+MARKS = ".,;:!?*#%$&|"
+_mark = np.zeros(256, dtype=bool)
+_mark[[ord(c) for c in MARKS]] = True
+_letter = np.zeros(256, dtype=bool)
+_letter[97:123] = True
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection on 64-bit words."""
@@ -123,7 +134,7 @@ class SpanMemory:
         self._values: np.ndarray = np.zeros(0, dtype=np.int32)
 
     def resolve(self, hashes: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values, and start and length of each span's run in them; ``compute(indices)`` gives the runs of spans not seen before."""
+        """Values, and start and length of each span's run in them; ``compute(indices)`` gives the runs of spans not seen before, end to end, and their lengths."""
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self._keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -133,23 +144,23 @@ class SpanMemory:
             if len(self._keys) + int((~known).sum()) > self._limit and len(self._keys):
                 self._clear()
                 at, known = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-            runs = compute(first[~known])
-            length = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+            runs, length = compute(first[~known])
             lo = len(self._values) + np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
-            row = len(self._lo) + np.arange(len(runs))
+            row = len(self._lo) + np.arange(len(length))
             self._keys = np.insert(self._keys, at[~known], keys[~known])
             self._row = np.insert(self._row, at[~known], row)
             self._lo, self._length = np.concatenate([self._lo, lo]), np.concatenate([self._length, length])
-            self._values = np.concatenate([self._values, np.concatenate([np.asarray(r, dtype=np.int32) for r in runs])])
+            self._values = np.concatenate([self._values, runs])
         row = self._row[np.searchsorted(self._keys, keys)][inverse]
         return self._values, self._lo[row], self._length[row]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
+def find_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, gaps: np.ndarray = _space, cut_marks: bool = False) -> Words:
+    """The words of rows lo..hi-1; ``cut_marks`` also cuts between an ASCII letter and a mark of MARKS."""
     at = offsets[lo : hi + 1] - offsets[lo]
     data = _lower[data[offsets[lo] : offsets[hi]]]
     n = len(data)
-    solid = ~_space[data]
+    solid = ~gaps[data]
     fresh = np.zeros(n + 1, dtype=bool)
     fresh[at] = True
     gap = np.ones(n + 1, dtype=bool)
@@ -157,16 +168,22 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words
     before = np.empty(n, dtype=bool)
     before[:1] = True
     before[1:] = gap[: n - 1]
-    starts = np.flatnonzero(solid & (before | fresh[:n]))
-    ends = np.flatnonzero(solid & (gap[1:] | fresh[1:])) + 1
+    head, tail = before | fresh[:n], gap[1:] | fresh[1:]
+    if cut_marks:
+        mark, letter = _mark[data], _letter[data]
+        between = (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
+        head[1:] |= between
+        tail[: n - 1] |= between
+    starts = np.flatnonzero(solid & head)
+    ends = np.flatnonzero(solid & tail) + 1
     hashes = hash_spans(data, starts, ends)
     return Words(lo, hi, data, starts, ends, np.searchsorted(starts, at), hashes)
 
 
-def words_of(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
+def words_of(column: pa.Array, limit: int = SLICE_BYTES, gaps: np.ndarray = _space, cut_marks: bool = False) -> Iterator[Words]:
     offsets, data = text_buffers(column)
     for lo, hi in row_slices(offsets, limit):
-        yield find_words(data, offsets, lo, hi)
+        yield find_words(data, offsets, lo, hi, gaps, cut_marks)
 
 
 def hash_word(word: bytes) -> int:

@@ -217,7 +217,7 @@ class TokenCounter:
             begin[fresh] = True
             starts = np.flatnonzero(begin)
             ends = np.append(starts[1:], len(body))
-            compute = lambda k: list(self._count_units(body, starts[k], ends[k])[:, None])  # noqa: B023, E731
+            compute = lambda k: (self._count_units(body, starts[k], ends[k]).astype(np.int32), np.ones(len(k), np.int64))  # noqa: B023, E731
             values, first, _ = self._memory.resolve(hash_spans(body, starts, ends), compute)
             scan = np.concatenate(([0], np.cumsum(values[first], dtype=np.int64)))
             edge = np.append(np.searchsorted(starts, fresh), len(starts))
