@@ -8,13 +8,25 @@ slice, then mixed with the word's length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+
+
+def _return_freed_memory() -> None:
+    """Let the allocator map arrays of 1 MB and more on their own, so that a worker gives them back when they are freed."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (OSError, AttributeError):  # not glibc: nothing to set
+        return
+
+
+_return_freed_memory()
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -60,7 +72,7 @@ def _power(base: int, n: int) -> np.ndarray:
             step = _U(pow(base, filled, 1 << 64))
             have[filled : 2 * filled] = have[:filled] * step
             filled *= 2
-        if size <= 4 * SLICE_BYTES:
+        if size <= 8 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampleloom.llm import packing
@@ -63,21 +63,17 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -
     return out
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    """Low and high bytes compressed apart; this is what the shuffle carries."""
-    z = zstandard.ZstdCompressor()
-    low, high = z.compress((ids & 255).astype(np.uint8).tobytes()), z.compress((ids >> 8).astype(np.uint8).tobytes())
-    return struct.pack("<I", len(low)) + low + high
+def _planes(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Low and high bytes of two-byte ids; apart, each compresses better."""
+    return (ids & 255).astype(np.uint8).tobytes(), (ids >> 8).astype(np.uint8).tobytes()
 
 
-def _unsqueeze(body: bytes) -> np.ndarray:
-    z, (n,) = zstandard.ZstdDecompressor(), struct.unpack_from("<I", body)
-    low, high = (np.frombuffer(z.decompress(part), dtype=np.uint8) for part in (body[4 : 4 + n], body[4 + n :]))
-    return low.astype("<u2") | (high.astype("<u2") << 8)
+def _joined(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, dtype=np.uint8).astype("<u2") | (np.frombuffer(high, dtype=np.uint8).astype("<u2") << 8)
 
 
 def _sequencer(tokenizer: str | None, window: int, end_id: int):
-    schema = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("first_id", pa.int64()), ("first_at", pa.int64()), ("n", pa.int32()), ("crc32", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("first_id", pa.int64()), ("first_at", pa.int64()), ("n", pa.int32()), ("crc32", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = packing.word_tokenizer(tokenizer)
@@ -90,7 +86,7 @@ def _sequencer(tokenizer: str | None, window: int, end_id: int):
         def sequence(ids: np.ndarray, at: tuple):
             nonlocal nth
             ids = ids.astype("<u2")
-            rows.append((part, nth, *at, len(ids), zlib.crc32(ids.tobytes()), _squeeze(ids)))
+            rows.append((part, nth, *at, len(ids), zlib.crc32(ids.tobytes()), *_planes(ids)))
             nth += 1
 
         for batch in batches:
@@ -117,11 +113,13 @@ def _sequencer(tokenizer: str | None, window: int, end_id: int):
     return run
 
 
-def _slotter(n: int, key: int, shard_rows: int):
+def _slotter(bases: np.ndarray, n: int, key: int, shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = permute(batch.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), *batch.columns[1:]], names=["shard", "slot", *batch.schema.names[1:]])
+            slot = permute(bases[batch.column(0).to_numpy()] + batch.column(1).to_numpy(), n, key)
+            press = zstandard.ZstdCompressor().compress  # the shuffle's own compression does not shorten ids
+            planes = [pa.array([press(x) for x in batch.column(k).to_pylist()], pa.binary()) for k in (6, 7)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), *batch.columns[2:6], *planes], names=["shard", "slot", *batch.schema.names[2:]])
 
     return run
 
@@ -131,8 +129,9 @@ def _recorder(window: int):
         for batch in batches:
             shard, *columns = (c.to_pylist() for c in batch.columns)
             records = []
-            for slot, first_id, first_at, n, crc, body in zip(*columns, strict=True):
-                ids = _unsqueeze(body)
+            unpress = zstandard.ZstdDecompressor().decompress
+            for slot, first_id, first_at, n, crc, low, high in zip(*columns, strict=True):
+                ids = _joined(unpress(low), unpress(high))
                 head = struct.pack(_HEAD, slot, _NONE if first_id is None else first_id, first_at, n, crc)
                 records.append(head + ids.tobytes() + bytes(2 * (window - n)))
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(records, pa.binary())], names=["shard", "record"])
@@ -158,14 +157,15 @@ def write_training_order(
     give no shards.  The vocabulary must have 65,536 ids at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kinds = "part long, nth long, first_id long, first_at long, n int, crc32 long, body binary"
+    kinds = "part long, nth long, first_id long, first_at long, n int, crc32 long, low binary, high binary"
     made = materialise(rows.mapInArrow(_sequencer(tokenizer, window, end_id), kinds), "sequences")
-    sizes = made.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))  # a row per input partition
-    n = made.count()
-    numbered = made.join(bases, "part").select((F.col("base") + F.col("nth")).alias("number"), "first_id", "first_at", "n", "crc32", "body")
-    slotted = numbered.mapInArrow(_slotter(n, key, shard_rows), "shard long, slot long, first_id long, first_at long, n int, crc32 long, body binary")
+    # a row per task of the stage above, whose tasks the driver already tracks one by one
+    sizes = {r["part"]: r["size"] for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("size")).collect()}
+    bases, n = np.zeros(max(sizes, default=0) + 1, dtype=np.int64), 0
+    for part in sorted(sizes):
+        bases[part], n = n, n + sizes[part]
+    kinds = "shard long, slot long, first_id long, first_at long, n int, crc32 long, low binary, high binary"
+    slotted = made.mapInArrow(_slotter(bases, n, key, shard_rows), kinds)
     ordered = slotted.repartition("shard").sortWithinPartitions("shard", "slot")
     records = ordered.mapInArrow(_recorder(window), "shard long, record binary")
     records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
@@ -179,7 +179,8 @@ def _reader(window: int, shard_rows: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = memoryview(value.as_buffer())
                 rows = []
                 for at in range(0, len(content), stride):
                     slot, first_id, first_at, n, crc = struct.unpack_from(_HEAD, content, at)
