@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sampleloom.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from sampleloom.llm.shared import materialise, read_table
+from sampleloom.llm.shared import bound_batches, materialise, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no letters, or far from every language) go."""
+    bound_batches(spark)
     return language_id.drop_unidentified(docs, language_id.fit(language_id.train_rows(docs)))
 
 
