@@ -33,7 +33,7 @@ STATES = 6
 PIECE = 256
 START_DOCS, START_ROUNDS, ROUNDS = 400, 20, 2
 BLOCK_BYTES = 16 << 20
-SLICE = 1 << 22
+SLICE = 1 << 21
 SMOOTH = 0.1
 
 _END = CLASSES
