@@ -15,3 +15,15 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under ``name``."""
+
+    def add(function):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = Query(function, sql)
+        return function
+
+    return add
