@@ -89,15 +89,20 @@ def ratio(rate_in: int, rate_out: int) -> tuple[int, int]:
 def resample_span(x: np.ndarray, start: int, first: int, last: int, up: int, down: int, quality: str) -> np.ndarray:
     """Output frames [first, last) of a track of which ``x`` (from frame ``start``) holds all frames that matter."""
     bank = resample_bank(up, down, quality)
-    half = bank.shape[1] // 2
-    padded = np.pad(x.astype(np.float64), ((0, 0), (half + 1, half + 1)))
+    taps = bank.shape[1]
+    half = taps // 2
+    padded = np.pad(x, ((0, 0), (half + 1, half + 1))).astype(np.float32)
     out = np.empty((len(x), last - first), dtype=np.float32)
-    for a in range(first, last, 4096):
-        m = np.arange(a, min(a + 4096, last), dtype=np.int64) * down
-        at, phase = m // up, m % up
-        index = (at - start + 1)[:, None] + np.arange(1, bank.shape[1] + 1)[None, :]
-        index = np.clip(index, 0, padded.shape[1] - 1)
-        out[:, a - first : a - first + len(m)] = np.einsum("cmt,mt->cm", padded[:, index], bank[phase])
+    # outputs of one phase use one row of taps, on windows that lie ``down`` frames apart
+    for phase in range(min(up, last - first)):
+        m = first + phase
+        n = -(-(last - m) // up)
+        at = m * down // up - start + 2
+        for c in range(len(x)):
+            short = max(at + (n - 1) * down + taps - padded.shape[1], 0)
+            row = np.pad(padded[c], (0, short)) if short else padded[c]
+            windows = np.lib.stride_tricks.as_strided(row[at:], (n, taps), (row.strides[0] * down, row.strides[0]))
+            out[c, phase::up] = windows @ bank[m * down % up].astype(np.float32)
     return out
 
 

@@ -2,7 +2,8 @@
 
 Each parser gives a ``Track`` and an iterator of (pts, duration, sync, offset,
 size); offsets point into the file, so packets can be copied or counted without
-touching the audio.
+touching the audio.  Ogg packets may lie on several pages, so theirs come with
+their bytes as a sixth field.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from sampleloom.sources import flac, pcm
 from sampleloom.sources.pcm import Malformed, Track
 
-Packet = tuple[int, int, bool, int, int]
+Packet = tuple[int, int, bool, int, int] | tuple[int, int, bool, int, int, bytes]
 
 #: MPEG audio bit rates (kbit/s) by version and layer, rates by version.
 _MPEG_KBPS = {
@@ -161,7 +162,7 @@ def _ogg(data: bytes) -> tuple[Track, Iterator[Packet]]:
             pos = 0
             for body, at, _ in stream:
                 dur = opus_duration(body)
-                yield pos, dur, True, at, len(body)
+                yield pos, dur, True, at, len(body), body
                 pos += dur
 
         return track, packets()
@@ -172,7 +173,7 @@ def _ogg(data: bytes) -> tuple[Track, Iterator[Packet]]:
         track.tags = flac.parse_comments(tags[7:]) if tags[:7] == b"\x03vorbis" else {}
         next(stream, None)
         short, long = 1 << (head[28] & 15), 1 << (head[28] >> 4)
-        return track, ((0, 0, True, at, len(body)) for body, at, _ in stream if short <= long)
+        return track, ((0, 0, True, at, len(body), body) for body, at, _ in stream if short <= long)
     if head[:5] == b"\x7fFLAC" and len(head) >= 51:
         track = flac.parse(head[9:] if head[13] & 128 else head[9:13] + bytes([head[13] | 128]) + head[14:])
         track.container = "ogg"
@@ -182,7 +183,7 @@ def _ogg(data: bytes) -> tuple[Track, Iterator[Packet]]:
             for body, at, _ in stream:
                 if body[:2] in (b"\xff\xf8", b"\xff\xf9"):
                     planes, _, _ = flac.decode_frame(body, track)
-                    yield pos, planes.shape[1], True, at, len(body)
+                    yield pos, planes.shape[1], True, at, len(body), body
                     pos += planes.shape[1]
 
         return track, flac_packets()

@@ -35,11 +35,12 @@ def _rows(kind: str, source: str, data: bytes, ext: str) -> Iterator[dict]:
             "delay": track.delay, "padding": track.padding, "samples_exact": track.samples >= 0, "is_default": True,
         }
         return
-    for seq, (pts, dur, sync, at, size) in enumerate(packets):
+    for seq, (pts, dur, sync, at, size, *held) in enumerate(packets):
+        body = held[0] if held else data[at : at + size]
         if kind == "packets":
-            yield {"source_id": source, "track_id": 0, "seq": seq, "pts": pts, "dur": dur, "sync": sync, "data": data[at : at + size]}
+            yield {"source_id": source, "track_id": 0, "seq": seq, "pts": pts, "dur": dur, "sync": sync, "data": body}
         else:
-            planes = _decode(track, data[at : at + size])
+            planes = _decode(track, body)
             yield {"source_id": source, "track_id": 0, "pos": pts, "n": planes.shape[1], "discont": False, "pcm": planes.tolist()}
 
 
