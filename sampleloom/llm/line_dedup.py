@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.llm.shared import ASCII_SPACE, ascii_lower, read_table, text_or_empty
+from sampleloom.llm.shared import ASCII_SPACE, ascii_lower, materialise, read_table, text_or_empty
 
 MIN_POINTS = 10
 MIN_DOCS = 2
@@ -48,7 +48,8 @@ def drop_repeated_lines(
     else:
         held = hashed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
         repeated = held.agg(F.min("id").alias("first_id"), F.sum("one").alias("n")).where(F.col("n") >= min_docs)
-    repeated = repeated.select("h1", "h2", "first_id")
+    # written out, so that the join shuffles both sides and Spark can split the rows of a line that very many documents hold
+    repeated = materialise(repeated.select("h1", "h2", "first_id"), "repeated-lines")
     losses = (
         hashed.join(repeated, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("first_id")))
