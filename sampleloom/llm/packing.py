@@ -28,7 +28,7 @@ WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 1_500_000
-RANK_ROWS = 1 << 18
+RANK_ROWS, LEAST_SALTS = 1 << 18, 64
 #: Runs of five numbers that may be broadcast (4 MB); more are joined by length.
 BROADCAST_RUNS = 100_000
 
@@ -205,7 +205,7 @@ def best_fit(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tupl
 
 def _ranked(rows: DataFrame, by: list[str], amount, order: list[str]) -> DataFrame:
     """Add ``rank``: the sum of ``amount`` over the rows of the same ``by`` that come before, without one task per group."""
-    salts = max(1, min(4096, rows.count() // RANK_ROWS + 1))
+    salts = max(LEAST_SALTS, min(4096, rows.count() // RANK_ROWS + 1))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     inner = Window.partitionBy(*by, "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy(*by, "salt").agg(F.sum(amount).alias("amount"))
