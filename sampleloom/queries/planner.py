@@ -72,7 +72,7 @@ def ladder(spark, d):
 def output_channels(spark, d):
     """Lossy outputs fold what is wider than stereo; lossless ones refuse."""
     rows = _requests(spark, d)
-    return rows.select("request", planner.fold_to_stereo(F.col("container"), F.col("channels")).alias("out_channels"), planner.is_lossy(F.col("container")).alias("lossy"))
+    return rows.select("request", planner.fold_to_stereo(F.col("container"), F.col("channels")).cast("int").alias("out_channels"), planner.is_lossy(F.col("container")).alias("lossy"))
 
 
 @query(

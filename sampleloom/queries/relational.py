@@ -63,7 +63,7 @@ def rollup_cube(spark, d):
 )
 def ranking_windows(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"), F.dense_rank().over(w).alias("dr"))
+    return table(spark, d, "orders").select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"), F.dense_rank().over(w).cast("long").alias("dr"))
 
 
 @query("set_operations", "SELECT k, 'both' AS s FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'customers' FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
