@@ -180,7 +180,8 @@ def near_duplicates(
     banded = reps.select("id", "n", F.explode(F.array_distinct("keys")).alias("key")).withColumn("n", F.col("n").cast("int"))
     centre = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key"), "id"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), centre.alias("c")).where("lo <> hi")
-    shared = shared.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"))
+    # written out, here and below, so that joins shuffle both sides and Spark can split a bucket that holds very many rows
+    shared = materialise(shared.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
     buckets = materialise(banded.join(shared, "key").distinct(), "buckets")
 
     candidates = buckets.select(F.col("id").alias("cand")).distinct()
@@ -212,6 +213,7 @@ def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of buckets that span several components, with their component."""
     labelled = buckets.drop("component").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    spans = materialise(spans, "open-keys")
     return materialise(labelled.join(spans, "key", "left_semi"), "open")
 
 
@@ -233,7 +235,8 @@ def _hubs(open_rows: DataFrame, links: DataFrame) -> DataFrame:
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     ranked = open_rows.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     hubs = ranked.groupBy("key").agg(F.max_by(F.struct("id", "n", "common", "component"), F.struct("degree", F.xxhash64("id"), "id")).alias("h"))
-    return hubs.select("key", *[F.col(f"h.{c}").alias(h) for c, h in (("id", "hub"), ("n", "hub_n"), ("common", "hub_common"), ("component", "hub_component"))])
+    hubs = hubs.select("key", *[F.col(f"h.{c}").alias(h) for c, h in (("id", "hub"), ("n", "hub_n"), ("common", "hub_common"), ("component", "hub_component"))])
+    return materialise(hubs, "hubs")
 
 
 def _hub_pairs(open_rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -256,6 +259,7 @@ def _straggler_links(clusters: DataFrame, sets: DataFrame, percent: int) -> Data
     sizes = sizes.agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("all"), F.max("m").alias("top"))
     parts = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
     sizes = sizes.select("hub", "largest", parts(F.col("all")).alias("m_parts"), F.greatest(F.lit(1), parts(F.col("all") - F.col("top"))).alias("s_parts"))
+    sizes = materialise(sizes, "cluster-sizes")
     rows = clusters.join(sizes, "hub").join(sets, "id")
     mine = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
