@@ -36,7 +36,8 @@ COSINE = 0.72
 SURE, LIKELY = 0.8, 0.5
 SHARED = 0.5
 ANSWER_WORDS = 5
-BLOCK_ITEMS = 2000
+#: A block of items goes to all workers: so many items and bytes of text at most (one item may exceed the bytes alone).
+BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
 SLICE = 1 << 19
 
 _U = np.uint64
@@ -249,15 +250,17 @@ def _dropping(blocks: list[list[tuple[int, str]]], space: np.ndarray, text_at: i
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``block_items``, in the order of their ids; a block at a time is on the driver."""
+def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, in the order of their ids; a block at a time is on the driver."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
-    block = []
+    block, size = [], 0
     for r in rows.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == block_items:
+        n = len(r["t"].encode())
+        if block and (len(block) == block_items or size + n > block_bytes):
             yield block
-            block = []
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
+        size += n
     if block:
         yield block
 
@@ -266,7 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per row of ``docs``: id, item_ids (sorted, empty if clean), share (of the best covered item).
 
     Null or empty texts are clean, null items and items without words are
-    skipped, an empty benchmark finds nothing.  Rows are independent.  Other
+    skipped, an empty benchmark finds nothing.  Rows are independent (where the
+    benchmark takes several blocks, rows of one id become one row).  Other
     columns are not read.
     """
     space = fit_space(docs, text_col)

@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 FIT_DOCS = 2400
 CENTROIDS = 4
 ROUNDS = 8
+#: A limit per label is broadcast up to so many labels.
+BROADCAST_LABELS = 10_000
 #: A text is rejected below this part of the smallest cosine of the language's sample.
 REJECT_BELOW = 0.25
 UNKNOWN = "und"
@@ -134,7 +136,8 @@ def fit(train: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS,
     idf = np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1
     grid, share = 1 << 30, max(1, fit_docs // len(labels))
     limits = train.sparkSession.createDataFrame([(x, min(grid, -(-share * grid // sizes[x]))) for x in labels], "lang string, upto long")
-    chosen = train.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("key"), F.lit(grid)) < F.col("upto")).select("key", "lang", "text")
+    limits = F.broadcast(limits) if len(labels) <= BROADCAST_LABELS else limits
+    chosen = train.join(limits, "lang").where(F.pmod(F.xxhash64("key"), F.lit(grid)) < F.col("upto")).select("key", "lang", "text")
     rows = chosen.mapInArrow(_vectors(idf), "key long, lang string, vector binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["key"] is not None, r["key"] or 0, r["vector"]))
     parts, owner, floors = [], [], []

@@ -148,3 +148,19 @@ def test_paraphrase_needs_its_answer(spark):
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).where("doc_id > 9000").collect()}
     assert kept == {9002, 9004}
     assert {tuple(r["item_ids"]) for r in decontaminate.contaminated(docs, bench.limit(0)).collect()} == {()}
+
+
+def test_items_come_in_blocks(spark):
+    bench = spark.createDataFrame([(k, "x" * 10) for k in range(7)] + [(9, "y" * 100), (8, None)], "item_id long, text string")
+    sizes = [[i for i, _ in b] for b in decontaminate.item_blocks(bench, 3, 35)]
+    assert sizes == [[0, 1, 2], [3, 4, 5], [6], [9]]
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "two three"), (2, "four five")], "item_id long, text string")
+    keep = decontaminate.item_blocks
+    try:
+        decontaminate.item_blocks = lambda b: keep(b, 1)
+        got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(docs, two).collect()}
+        assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, two).collect()] == [3]
+    finally:
+        decontaminate.item_blocks = keep
+    assert got == {1: [1], 2: [2], 3: []}
