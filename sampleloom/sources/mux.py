@@ -167,7 +167,48 @@ def media_segment(packets: Packets, number: int, decode_time: int) -> bytes:
     return moof(size + 8) + box(b"mdat", *[d for d, _ in rows])
 
 
-MUXERS = {"ogg": mux_ogg, "adts": mux_adts, "mp4": mux_mp4}
+def _element(kind: int, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return kind.to_bytes((kind.bit_length() + 7) // 8, "big") + (1 << 56 | len(body)).to_bytes(8, "big") + body
+
+
+def _number(kind: int, value: int) -> bytes:
+    return _element(kind, value.to_bytes(max(1, (value.bit_length() + 7) // 8), "big"))
+
+
+def mux_mka(track: Track, packets: Packets, cluster_ms: int = 5000) -> bytes:
+    """Matroska: one track, clusters of a few seconds, times in milliseconds."""
+    codec = {"opus": b"A_OPUS", "flac": b"A_FLAC", "aac-lc": b"A_AAC", "mp3": b"A_MPEG/L3"}.get(track.codec)
+    if codec is None:
+        raise Malformed(f"no Matroska mapping for {track.codec}")
+    config = b"fLaC" + struct.pack(">I", 0x80000000 | len(track.config)) + track.config if track.codec == "flac" else track.config
+    doc = b"webm" if track.codec == "opus" else b"matroska"
+    head = _element(0x1A45DFA3, _number(0x4286, 1), _number(0x42F7, 1), _number(0x42F2, 4), _number(0x42F3, 8), _element(0x4282, doc), _number(0x4287, 4), _number(0x4285, 2))
+    audio = _element(0xE1, _element(0xB5, struct.pack(">d", track.rate)), _number(0x9F, track.channels), *([_number(0x6264, track.bit_depth)] if track.sample_type == "int" else []))
+    delay = [_number(0x56AA, track.delay * 1_000_000_000 // track.rate)] if track.delay else []
+    entry = _element(0xAE, _number(0xD7, 1), _number(0x73C5, 1), _number(0x83, 2), _element(0x86, codec), *([_element(0x63A2, config)] if config else []), *delay, audio)
+    clusters, blocks, base, pos = [], [], 0, 0
+    for data, dur in packets:
+        ms = pos * 1000 // track.rate
+        if blocks and ms - base >= min(cluster_ms, 32000):
+            clusters.append(_element(0x1F43B675, _number(0xE7, base), *blocks))
+            blocks, base = [], ms
+        blocks.append(_element(0xA3, b"\x81" + struct.pack(">hB", ms - base, 0x80) + data))
+        pos += dur
+    if blocks:
+        clusters.append(_element(0x1F43B675, _number(0xE7, base), *blocks))
+    info = _element(0x1549A966, _number(0x2AD7B1, 1_000_000), _element(0x4D80, b"sampleloom"), _element(0x5741, b"sampleloom"))
+    return head + _element(0x18538067, info, _element(0x1654AE6B, entry), *clusters)
+
+
+def mux_mp3(track: Track, packets: Packets) -> bytes:
+    """MPEG frames one after another."""
+    if track.codec != "mp3":
+        raise Malformed(f"no MPEG stream of {track.codec}")
+    return b"".join(d for d, _ in packets)
+
+
+MUXERS = {"ogg": mux_ogg, "adts": mux_adts, "mp4": mux_mp4, "mka": mux_mka, "mp3": mux_mp3}
 
 
 def aac_config(rate: int, channels: int) -> bytes:

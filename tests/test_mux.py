@@ -59,3 +59,19 @@ def test_remux_table(spark, tmp_path):
     assert len(out) == 1 and containers.open_bytes(bytes(out[0]["data"]))[0].codec == "aac-lc"
     with pytest.raises(Malformed):
         mux.mux_ogg(Track("x", "pcm", 8000, 1), [])
+
+
+def test_opus_in_matroska_and_mp3_frames():
+    data, *_ = samples()["ogg"]
+    track, rows = packets_of(data)
+    rows = [(bytes([0xFC]) + bytes([k % 256]) * 20, 960) for k in range(600)]
+    there, again = packets_of(mux.mux_mka(track, rows))
+    assert (there.container, there.codec, there.rate, there.channels, there.delay) == ("mka", "opus", 48000, 2, 312)
+    assert [d for d, _ in again] == [d for d, _ in rows] and {n for _, n in again[:-1]} == {960}
+    data, *_ = samples()["mp3"]
+    track, rows = packets_of(data)
+    assert mux.mux_mp3(track, rows) == data
+    x = noise(16, 2, 4000)
+    track, rows = packets_of(flac.write(x, 48000, 16, 960))
+    there, again = packets_of(mux.mux_mka(track, rows))
+    assert there.codec == "flac" and np.concatenate([flac.decode_frame(d, track)[0] for d, _ in again], axis=1).tolist() == x.tolist()
