@@ -315,18 +315,25 @@ def _wavpack(data: bytes) -> tuple[Track, Iterator[Packet]]:
     if data[:4] != b"wvpk" or len(data) < 32:
         raise Malformed("not a WavPack stream")
     total, _, _, flags = struct.unpack_from("<IIII", data, 12)
-    index = flags >> 23 & 15
+    index, channels, at = flags >> 23 & 15, 0, 0
+    while at + 32 <= len(data) and data[at : at + 4] == b"wvpk":
+        size, f = struct.unpack_from("<I", data, at + 4)[0], struct.unpack_from("<I", data, at + 24)[0]
+        channels, at = channels + (1 if f & 4 else 2), at + size + 8
+        if f & 0x1000:
+            break
     bits = 8 * ((flags & 3) + 1) - (flags >> 13 & 31)
-    track = Track("wavpack", "wavpack", _WAVPACK_RATES[index] if index < 15 else 44100, 1 if flags & 4 else 2, "float" if flags & 128 else "int", 32 if flags & 128 else bits, bits, samples=-1 if total == 0xFFFFFFFF else total)
+    track = Track("wavpack", "wavpack", _WAVPACK_RATES[index] if index < 15 else 44100, channels, "float" if flags & 128 else "int", 32 if flags & 128 else bits, bits, samples=-1 if total == 0xFFFFFFFF else total)
 
     def packets():
         at = 0
         while at + 32 <= len(data) and data[at : at + 4] == b"wvpk":
-            size = struct.unpack_from("<I", data, at + 4)[0] + 8
-            pos, n = struct.unpack_from("<II", data, at + 16)
+            begin, (pos, n) = at, struct.unpack_from("<II", data, at + 16)
+            final = False
+            while not final and at + 32 <= len(data) and data[at : at + 4] == b"wvpk":  # blocks of one packet share its position
+                final = bool(struct.unpack_from("<I", data, at + 24)[0] & 0x1000)
+                at += struct.unpack_from("<I", data, at + 4)[0] + 8
             if n:
-                yield pos, n, True, at, size
-            at += size
+                yield pos, n, True, begin, at - begin
 
     return track, packets()
 

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sampleloom.core.schemas import CHUNKS, PACKETS, SOURCES, STANDARD_CHUNK, TRACKS, struct
-from sampleloom.sources import alac, containers, flac, mux, pcm
+from sampleloom.sources import alac, containers, flac, mux, pcm, wavpack
 
 MAX_BYTES = 1 << 30
 
@@ -45,7 +45,7 @@ def _rows(kind: str, source: str, data: bytes, ext: str) -> Iterator[dict]:
 
 
 def _decode(track: pcm.Track, packet: bytes) -> np.ndarray:
-    """Float planes of one packet; PCM, FLAC and ALAC packets stand alone."""
+    """Float planes of one packet; PCM, FLAC, ALAC and WavPack packets stand alone."""
     if track.codec == "pcm":
         planes = pcm.decode(track, packet)
     elif track.codec == "flac":
@@ -53,6 +53,8 @@ def _decode(track: pcm.Track, packet: bytes) -> np.ndarray:
     elif track.codec == "alac":
         config = alac.Config.parse(track.config)
         planes, track.bit_depth = alac.decode_frame(packet, config), config.bits
+    elif track.codec == "wavpack":
+        planes = wavpack.decode_packet(packet) >> (-track.bit_depth % 8)
     else:
         raise pcm.Malformed(f"no decoder for {track.codec}")
     return planes if planes.dtype == np.float32 else (planes / np.float32(1 << track.bit_depth - 1)).astype(np.float32)
@@ -98,7 +100,7 @@ def packets(sources: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def decode_chunks(sources: DataFrame, strict: bool = False) -> DataFrame:
-    """Chunk rows of the PCM, FLAC and ALAC files; what a file gave before it broke off is kept."""
+    """Chunk rows of the PCM, FLAC, ALAC and WavPack files; what a file gave before it broke off is kept."""
     return _table(sources, "chunks", strict)
 
 
@@ -109,7 +111,7 @@ def _write_alac(planes: np.ndarray, rate: int, bits: int) -> bytes:
     return mux.mux_mp4(track, [(alac.encode_frame(planes[:, a : a + 4096], config), min(4096, n - a)) for a in range(0, n, 4096)])
 
 
-ENCODERS = {"wav": pcm.write_wav, "aiff": pcm.write_aiff, "flac": flac.write, "alac": _write_alac}
+ENCODERS = {"wav": pcm.write_wav, "aiff": pcm.write_aiff, "flac": flac.write, "alac": _write_alac, "wavpack": wavpack.write}
 
 
 def encode_files(chunks: DataFrame, rate: int, fmt: str = "wav", bits: int = 16) -> DataFrame:

@@ -83,7 +83,7 @@ def samples():
     audio = ebml(b"\xe1", ebml(b"\xb5", struct.pack(">d", 48000)) + ebml(b"\x9f", b"\x02"))
     cluster = ebml(b"\x1f\x43\xb6\x75", ebml(b"\xe7", b"\x00") + b"".join(ebml(b"\xa3", b"\x81" + struct.pack(">h", t) + b"\x80abc") for t in (0, 20, 40)))
     mka = ebml(b"\x1a\x45\xdf\xa3", b"") + ebml(b"\x18\x53\x80\x67", ebml(b"\x16\x54\xae\x6b", ebml(b"\xae", ebml(b"\x86", b"A_OPUS") + audio)) + cluster)
-    wavpack = b"".join(b"wvpk" + struct.pack("<IHBBIIIII", 24 + 8, 0x410, 0, 0, 200, k * 100, 100, 1 | 9 << 23, 0) + bytes(8) for k in range(2))
+    wavpack = b"".join(b"wvpk" + struct.pack("<IHBBIIIII", 24 + 8, 0x410, 0, 0, 200, k * 100, 100, 1 | 0x1800 | 9 << 23, 0) + bytes(8) for k in range(2))
     ape = b"MAC " + struct.pack("<HHIII", 3990, 0, 52, 24, 8) + bytes(32) + struct.pack("<HHIIIHHI", 2000, 0, 73728, 100, 2, 16, 2, 44100) + struct.pack("<II", 84, 90) + bytes(16)
     return {"mp3": (mp3, 3, 44100), "adts": (adts, 4, 44100), "ogg": (ogg, 1, 48000), "mp4": (mp4, 3, 44100), "mka": (mka, 3, 48000), "wavpack": (wavpack, 2, 44100), "ape": (ape, 2, 44100)}
 
