@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+
 
 class BitReader:
     """Bits as a text of zeros and ones: searching and slicing it runs in C."""
@@ -63,6 +67,16 @@ class BitWriter:
     def unary(self, zeros: int) -> None:
         self._parts.append("0" * zeros + "1")
 
+    def rice(self, values: np.ndarray, k: int) -> None:
+        """Numbers from 0 up in a Rice code with parameter k, laid out all at once."""
+        ones = values >> k
+        ends = np.cumsum(ones + 1 + k)
+        bits = np.full(int(ends[-1]) if len(ends) else 0, 48, dtype=np.uint8)
+        bits[ends - k - 1] = 49
+        for j in range(k):
+            bits[ends - 1 - j] += (values >> j & 1).astype(np.uint8)
+        self._parts.append(bits.tobytes().decode("ascii"))
+
     def bytes(self) -> bytes:
         text = "".join(self._parts)
         text += "0" * (-len(text) % 8)
@@ -91,8 +105,34 @@ def crc8(data: bytes) -> int:
     return r
 
 
+_BLOCK = 4096
+
+
+@lru_cache(maxsize=1)
+def _crc16_by_place() -> np.ndarray:
+    """What a byte adds to the checksum from each place of a block, counted from its end: the checksum is linear."""
+    table = np.empty((_BLOCK, 256), dtype=np.uint16)
+    table[0] = first = np.array(_CRC16, dtype=np.uint16)
+    for k in range(1, _BLOCK):
+        table[k] = (table[k - 1] << np.uint16(8)) ^ first[table[k - 1] >> np.uint16(8)]
+    return table
+
+
 def crc16(data: bytes) -> int:
     r = 0
+    if len(data) >= 256:
+        table = _crc16_by_place()
+        whole = len(data) - len(data) % _BLOCK
+        for at in range(0, len(data), _BLOCK):
+            if at >= whole and len(data) - at < 2:
+                break
+            block = np.frombuffer(data, dtype=np.uint8, offset=at, count=min(_BLOCK, len(data) - at)).copy()
+            block[0] ^= r >> 8  # what was read before acts like a change of the next two bytes
+            block[1] ^= r & 255
+            r = int(np.bitwise_xor.reduce(table[np.arange(len(block) - 1, -1, -1), block]))
+        else:
+            return r
+        data = data[at:]
     for b in data:
         r = (r << 8 & 0xFFFF) ^ _CRC16[r >> 8 ^ b]
     return r

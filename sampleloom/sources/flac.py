@@ -188,9 +188,7 @@ def _rice(values: np.ndarray, order: int, size: int, w: BitWriter) -> None:
         costs = [int((part >> k).sum()) + n * (k + 1) for k in range(15)]
         k = int(np.argmin(costs))
         w.put(k, 4)
-        for v in part.tolist():
-            w.unary(v >> k)
-            w.put(v, k)
+        w.rice(part, k)
 
 
 def encode_frame(planes: np.ndarray, number: int, bits: int) -> bytes:
