@@ -5,9 +5,11 @@
     from these a Nystroem decomposition of the weighted Gram matrix gives the
     leading right singular vectors of the TF-IDF matrix (randomised SVD in a
     single pass).  What the driver receives has a fixed size.
-*   Overlapping windows of documents and of benchmark items are projected to the
-    latent space.  Every document window is compared with all item windows by
-    cosine, block by block; a window near an item is a candidate.
+*   Overlapping windows of documents and of benchmark items (over their whole
+    length) are compared.  A document window is a candidate for an item if it
+    shares enough words with the item, the words around it allow a common
+    subsequence of the least length (an upper bound, so nothing is lost), and its
+    latent vector is near that of one of the item's windows by cosine.
 *   A candidate stands when the longest common subsequence of the item's and
     the document's words covers most of the item, or a good part of it together
     with the item's closing words (its answer).
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 
 from sampleloom.llm.near_dedup import shingle_set
 from sampleloom.llm.shared import read_table
-from sampleloom.llm.text_arrays import SYMBOLS, Words, mix, words_of
+from sampleloom.llm.text_arrays import SYMBOLS, Words, gather_runs, mix, words_of
 
 FEATURES, RANK = 4096, 40
 PASSAGE = 64
-STEP, WINDOW = 6, 12
-COSINE = 0.72
+STEP, WINDOW, ITEM_STEP = 6, 12, 3
+COSINE = 0.2
 SURE, LIKELY = 0.8, 0.5
-SHARED = 0.5
+SHARED = 0.4
+#: Words held by most items are counted one by one; (window, item) cells are counted so many at a time.
+COMMON, CELLS = 32, 1 << 22
 ANSWER_WORDS = 5
 #: A block of items goes to all workers: so many items and bytes of text at most (one item may exceed the bytes alone).
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
@@ -139,30 +143,103 @@ class Items:
         self.ids = [r[0] for r in rows]
         words = next(words_of(pa.array([r[1] or "" for r in rows], pa.string()), 1 << 40, SYMBOLS)) if rows else None
         self.words = [words.hashes[words.first[k] : words.first[k + 1]] for k in range(len(rows))] if rows else []
-        vectors, owner = [], []
-        for k, own in enumerate(self.words):
-            if len(own) < WINDOW:
-                continue
+        self.long = [k for k, own in enumerate(self.words) if len(own) >= WINDOW]
+        vectors, windows = [], np.zeros(len(self.words), dtype=np.int64)
+        for k in self.long:
+            own = self.words[k]
             table = space[feature_of(own)]
-            # document windows start at every STEP words, so one of these starts is at most a word away from a window of the item
-            starts = (1, 4)
-            for b in {min(a, len(own) - WINDOW) for a in starts} | {max(len(own) - WINDOW - a, 0) for a in starts}:
-                vectors.append(table[b : b + WINDOW].sum(axis=0))
-                owner.append(k)
-        self.owner = np.array(owner, dtype=np.int64)
+            # document windows start at every STEP words, so each is at most a word away from a window of the item
+            starts = sorted({*range(0, len(own) - WINDOW + 1, ITEM_STEP), len(own) - WINDOW})
+            vectors += [table[b : b + WINDOW].sum(axis=0) for b in starts]
+            windows[k] = len(starts)
         v = np.array(vectors, dtype=np.float32).reshape(-1, space.shape[1])
         self.windows = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        pairs = [mix(own ^ mix(np.full(len(own), k + 1, dtype=_U))) for k, own in enumerate(self.words)]
-        self.members = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, _U)
+        self.window_count, self.window_first = windows, np.cumsum(windows) - windows
+        self.size = np.array([len(own) for own in self.words], dtype=np.int64)
+        held = [np.unique(own, return_counts=True) for own in (self.words[k] for k in self.long)]
+        every = np.concatenate([h for h, _ in held]) if held else np.zeros(0, _U)
+        self.vocabulary, inverse, spread = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.argsort(-spread, kind="stable")[:COMMON]
+        self.common = np.full(len(spread), -1)
+        self.common[order] = np.arange(len(order))
+        item = np.repeat(np.array(self.long, dtype=np.int64), [len(h) for h, _ in held])
+        times = np.concatenate([n for _, n in held]) if held else np.zeros(0, np.int64)
+        self.common_times = np.zeros((len(self.words), COMMON), dtype=np.int32)
+        often = self.common[inverse] >= 0
+        self.common_times[item[often], self.common[inverse[often]]] = times[often]
+        self.rare_word, self.rare_item = inverse[~often], item[~often]
         self.short: dict[int, dict[int, list[int]]] = {}
         for k, own in enumerate(self.words):
             if 0 < len(own) < WINDOW:
                 self.short.setdefault(len(own), {}).setdefault(int(shingle_set(own, len(own))[0]), []).append(k)
 
-    def holds(self, item: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        key = mix(hashes ^ mix((item + 1).astype(_U)))
-        at = np.minimum(np.searchsorted(self.members, key), max(len(self.members) - 1, 0))
-        return self.members[at] == key if len(self.members) else np.zeros(key.shape, dtype=bool)
+    def groups(self, n_blocks: int) -> Iterator[np.ndarray]:
+        """Numbers of the items with windows, so many at a time that their counts stay bounded."""
+        step = max(1, CELLS // max(n_blocks, 1))
+        for a in range(0, len(self.long), step):
+            yield np.array(self.long[a : a + step])
+
+
+def _candidates(w: Words, items: Items, space: np.ndarray, begin: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(window, item number): pairs that may hold the item, window by window for a group of items."""
+    h, n_blocks = w.hashes, len(begin)
+    size = np.diff(np.append(begin, len(h)))
+    same = np.append(row[1:] == row[:-1], False)[:-1]
+
+    def paired(blocks: np.ndarray) -> np.ndarray:
+        out = blocks.copy()
+        out[:-1][same] += blocks[1:][same]
+        return out
+
+    least = np.ceil(SHARED * paired(size))
+    row_lo, row_hi = np.searchsorted(row, row, side="left"), np.searchsorted(row, row, side="right")
+    word = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
+    known = items.vocabulary[word] == h
+    block, word = np.repeat(np.arange(n_blocks), size)[known], word[known]
+    often = items.common[word] >= 0
+    common = np.bincount(block[often] * COMMON + items.common[word[often]], minlength=n_blocks * COMMON).reshape(n_blocks, COMMON).astype(np.int32)
+    common_sum = np.concatenate([np.zeros((1, COMMON), np.int32), np.cumsum(common, axis=0, dtype=np.int32)])
+    common_pair = paired(common).astype(np.float32)
+    block, word = block[~often], word[~often]
+    for group in items.groups(n_blocks):
+        here = (items.rare_item >= group[0]) & (items.rare_item <= group[-1])
+        order = np.argsort(items.rare_word[here], kind="stable")
+        holders = np.searchsorted(group, items.rare_item[here][order])
+        length = np.bincount(items.rare_word[here], minlength=len(items.vocabulary))
+        first = np.cumsum(length) - length
+        cell = np.repeat(block * len(group), length[word]) + gather_runs(holders, first[word], length[word])
+        rare = np.bincount(cell, minlength=n_blocks * len(group)).reshape(n_blocks, len(group)).astype(np.int32)
+        shared = paired(rare) + common_pair @ (items.common_times[group] > 0).T.astype(np.float32)
+        window, which = np.nonzero(shared >= least[:, None])
+        rare_sum = np.concatenate([np.zeros((1, len(group)), np.int32), np.cumsum(rare, axis=0, dtype=np.int32)])
+        # no common subsequence is longer than the item's words around the window; of a common word at most as many count as the item has
+        need = np.ceil(LIKELY * items.size[group])[which]
+        reach = -(-items.size[group] // STEP)[which]
+        lo, hi = np.maximum(row_lo[window], window - reach), np.minimum(row_hi[window], window + 2 + reach)
+        most = rare_sum[hi, which] - rare_sum[lo, which]
+        may = most + items.common_times[group].sum(axis=1)[which] >= need
+        window, which, need, lo, hi, most = (x[may] for x in (window, which, need, lo, hi, most))
+        for a in range(0, len(window), 1 << 14):
+            b = slice(a, a + (1 << 14))
+            bound = most[b] + np.minimum(common_sum[hi[b]] - common_sum[lo[b]], items.common_times[group[which[b]]]).sum(axis=1)
+            ok = bound >= need[b]
+            pairs = window[b][ok], group[which[b][ok]]
+            near = _nearest(w, items, space, begin, row, *pairs) >= COSINE
+            yield from zip(pairs[0][near].tolist(), pairs[1][near].tolist(), strict=True)
+
+
+def _nearest(w: Words, items: Items, space: np.ndarray, begin: np.ndarray, row: np.ndarray, window: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The largest cosine of each window to one of its item's windows."""
+    if not len(window):
+        return np.zeros(0)
+    own, inverse = np.unique(window, return_inverse=True)
+    length = np.minimum(begin[own] + WINDOW, w.first[row[own] + 1]) - begin[own]
+    v = np.add.reduceat(space[feature_of(gather_runs(w.hashes, begin[own], length))], np.cumsum(length) - length, axis=0)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    n = items.window_count[item]
+    to = gather_runs(np.arange(len(items.windows)), items.window_first[item], n)
+    cosine = np.einsum("ij,ij->i", v[np.repeat(inverse, n)], items.windows[to])
+    return np.maximum.reduceat(cosine, np.cumsum(n) - n)
 
 
 def find_hits(w: Words, items: Items, space: np.ndarray) -> list[tuple[int, int, float]]:
@@ -173,27 +250,12 @@ def find_hits(w: Words, items: Items, space: np.ndarray) -> list[tuple[int, int,
         return []
     begin, row = _edges(w, STEP)
     if len(items.windows):
-        block = np.add.reduceat(space[feature_of(h)], begin, axis=0)
-        same = np.append(row[1:] == row[:-1], False)
-        block[:-1][same[:-1]] += block[1:][same[:-1]].copy()
-        norm = np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
-        block /= norm
-        for a in range(0, len(block), 4096):
-            cosine = block[a : a + 4096] @ items.windows.T
-            some = np.flatnonzero(cosine.max(axis=1) >= COSINE)
-            window, which = np.nonzero(cosine[some] >= COSINE)
-            window = some[window]
-            pair = np.unique((window + a) * len(items.ids) + items.owner[which])
-            window, item = pair // len(items.ids), pair % len(items.ids)
-            at = begin[window][:, None] + np.arange(WINDOW)
-            inside = at < w.first[row[window] + 1][:, None]
-            shared = (items.holds(item[:, None], h[np.minimum(at, len(h) - 1)]) & inside).sum(axis=1) / inside.sum(axis=1)
-            for k in np.flatnonzero(shared >= SHARED):
-                key = int(row[window[k]]), int(item[k])
-                if hits.get(key, 0) < 1:
-                    share = _share(w, key[0], int(begin[window[k]]), items.words[key[1]])
-                    if share:
-                        hits[key] = max(share, hits.get(key, 0))
+        for window, item in _candidates(w, items, space, begin, row):
+            key = int(row[window]), item
+            if hits.get(key, 0) < 1:
+                share = _share(w, key[0], int(begin[window]), items.words[item])
+                if share:
+                    hits[key] = max(share, hits.get(key, 0))
     for length, wanted in items.short.items():
         if len(h) >= length:
             acc = np.full(len(h) - length + 1, _U(length), dtype=_U)

@@ -150,6 +150,24 @@ def test_paraphrase_needs_its_answer(spark):
     assert {tuple(r["item_ids"]) for r in decontaminate.contaminated(docs, bench.limit(0)).collect()} == {()}
 
 
+def test_edits_at_both_ends_of_an_item_do_not_hide_it(spark):
+    """The middle is intact; the words changed are near the head and the tail."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    pool = " ".join(r["text"] or "" for r in docs.limit(50).collect()).split()
+    rng, made = random.Random(3), {}
+    for r in bench.collect():
+        words = r["text"].split()
+        n = len(words)
+        if n >= 36:
+            for k in (*range(0, 12, 2), *range(n - 17, n - 5, 2)):
+                words[k] = rng.choice(pool)
+            at = rng.randrange(len(pool) - 40)
+            made[r["item_id"]] = " ".join(pool[at : at + rng.randrange(30)] + words + pool[at + 30 : at + 40])
+    rows = spark.createDataFrame([(90_000 + k, t) for k, t in made.items()], "doc_id long, text string")
+    got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(docs.select("doc_id", "text").union(rows), bench).where("id >= 90000").collect()}
+    assert len(made) > 10 and [k for k in made if k not in got[90_000 + k]] == []
+
+
 def test_items_come_in_blocks(spark):
     bench = spark.createDataFrame([(k, "x" * 10) for k in range(7)] + [(9, "y" * 100), (8, None)], "item_id long, text string")
     sizes = [[i for i, _ in b] for b in decontaminate.item_blocks(bench, 3, 35)]
