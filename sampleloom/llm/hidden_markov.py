@@ -7,9 +7,10 @@ counts grow with the corpus and never leave the executors.
 
 *   Word counts: words are counted per block of documents, summed per word over
     all blocks, and every block receives the counts of its own words back.
-*   Training: Baum-Welch over all training documents.  Each task sums the
-    expected counts of its documents, the sums meet in a grouped aggregation.
-    The start comes from a few rounds on a bounded sample (``start_docs``).
+*   Training: Baum-Welch, every round over the whole of all training documents,
+    from a start that no data shapes, until the likelihood settles (ROUNDS at
+    most).  Each task sums the expected counts of its documents, the sums meet in
+    a grouped aggregation.
     Expected counts are gathered over pieces of at most PIECE tokens.
 *   Scoring: the scaled forward recursion over the whole text gives the exact
     likelihood of its classes, to which the words' shares are added.
@@ -31,13 +32,15 @@ from sampleloom.llm.text_arrays import words_of
 CLASSES = 4096
 STATES = 6
 PIECE = 256
-START_DOCS, START_ROUNDS, ROUNDS = 400, 20, 2
+ROUNDS = 22
+#: Training ends when a round adds less than this part to the log likelihood.
+SETTLED = 1e-5
 BLOCK_BYTES = 16 << 20
 SLICE = 1 << 21
 SMOOTH = 0.1
 
 _END = CLASSES
-_TRANSITION, _FIRST, _LATER, _DOCS = -100, -1, -2, -3
+_TRANSITION, _FIRST, _LATER, _LIKELIHOOD = -100, -1, -2, -3
 
 
 class Params:
@@ -94,6 +97,7 @@ class Counts:
     def __init__(self, states: int):
         self.start, self.later = np.zeros(states), np.zeros(states)
         self.transition, self.emission = np.zeros((states, states)), np.zeros((CLASSES + 1, states))
+        self.likelihood = 0.0
 
     def add(self, params: Params, classes: np.ndarray, edges: np.ndarray, piece: int = PIECE) -> None:
         """Forward and backward over pieces of at most ``piece`` tokens, all pieces side by side."""
@@ -113,6 +117,7 @@ class Counts:
             now = seen[t] * (np.where(head[:, None], params.start, params.later) if t == 0 else alphas[-1][:n] @ params.transition)
             scales.append(now.sum(axis=1))
             alphas.append(now / scales[-1][:, None])
+        self.likelihood += sum(float(np.log(s).sum()) for s in scales)
         beta = np.ones((len(length), len(params.start)))
         gammas: list = [None] * longest
         for t in range(longest - 1, -1, -1):
@@ -143,43 +148,23 @@ def _expectation(params: Params):
         for batch in batches:
             for w in words_of(batch.column(0)):
                 counts.add(params, *class_sequences(w.hashes, w.first))
-        rows = np.concatenate([np.arange(CLASSES + 1), [_FIRST, _LATER], _TRANSITION - np.arange(len(params.start))])
-        table = np.concatenate([counts.emission, counts.start[None], counts.later[None], counts.transition])
+        rows = np.concatenate([np.arange(CLASSES + 1), [_FIRST, _LATER, _LIKELIHOOD], _TRANSITION - np.arange(len(params.start))])
+        table = np.concatenate([counts.emission, counts.start[None], counts.later[None], np.full((1, len(params.start)), counts.likelihood), counts.transition])
         yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(c) for c in table.T.copy()]], names=names)
 
     return run
 
 
-def _first_words(limit_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words_of(batch.column(0)):
-                classes, edges = class_sequences(w.hashes, w.first)
-                rows = [classes[edges[r] : min(edges[r + 1], edges[r] + limit_tokens)].astype("<i2").tobytes() for r in range(len(edges) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["classes"])
-
-    return run
-
-
-def train(texts: DataFrame, states: int = STATES, start_docs: int = START_DOCS, start_rounds: int = START_ROUNDS, rounds: int = ROUNDS) -> Params:
-    """Parameters from ``texts(key, text)``; the driver receives the class sequences of about ``start_docs`` sampled texts (4 PIECE tokens each at most, to start from) and the summed counts."""
-    params, n = Params.initial(states), texts.count()
-    if not n:
+def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Params:
+    """Parameters from ``texts(key, text)``; the driver receives the summed counts of each round."""
+    params, last = Params.initial(states), None
+    if texts.isEmpty():
         return params
-    grid = 1 << 30
-    chosen = texts.where(F.pmod(F.xxhash64("key", "text"), F.lit(grid)) < min(grid, -(-start_docs * grid // n)))
-    sample = sorted(r["classes"] for r in chosen.select("text").mapInArrow(_first_words(4 * PIECE), "classes binary").collect())
-    flat = np.frombuffer(b"".join(sample), dtype="<i2").astype(np.int64)
-    edges = np.concatenate(([0], np.cumsum([len(s) // 2 for s in sample]))).astype(np.int64)
-    for _ in range(start_rounds if sample else 0):
-        counts = Counts(states)
-        counts.add(params, flat, edges)
-        params = counts.params()
     kinds = "row long, " + ", ".join(f"s{k} double" for k in range(states))
     for _ in range(rounds):
         parts = texts.select("text").mapInArrow(_expectation(params), kinds)
         total = Counts(states)
-        for r in parts.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect():  # CLASSES + states + 3 rows
+        for r in parts.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect():  # CLASSES + states + 4 rows
             row, values = r["row"], np.array(r[1:])
             if row >= 0:
                 total.emission[row] = values
@@ -187,9 +172,14 @@ def train(texts: DataFrame, states: int = STATES, start_docs: int = START_DOCS,
                 total.start = values
             elif row == _LATER:
                 total.later = values
+            elif row == _LIKELIHOOD:
+                total.likelihood = values[0]
             else:
                 total.transition[_TRANSITION - row] = values
         params = total.params()
+        if last is not None and total.likelihood - last < SETTLED * abs(last):
+            break
+        last = total.likelihood
     return params
 
 

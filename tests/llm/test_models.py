@@ -81,6 +81,20 @@ def test_expected_counts_add_up_and_training_never_hurts():
         p, last = counts.params(), now
 
 
+def test_every_round_reads_the_whole_of_all_texts(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ab", "cd"]) for _ in range(1100)) + " " + " ".join(rng.choice(["ef", "gh", "ij"]) for _ in range(900)) for _ in range(12)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string")
+    got = hidden_markov.train(frame, states=2, rounds=3)
+    want = hidden_markov.Params.initial(2)
+    w = next(words_of(pa.array(texts), 1 << 30))
+    for _ in range(3):
+        counts = hidden_markov.Counts(2)
+        counts.add(want, *hidden_markov.class_sequences(w.hashes, w.first))
+        want = counts.params()
+    assert np.allclose(got.emission, want.emission) and np.allclose(got.transition, want.transition)
+
+
 def test_scores_of_texts(spark):
     docs = edge_frame(spark)
     got = hidden_markov.score_texts(docs, F.lit(False)).collect()
