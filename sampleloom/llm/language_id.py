@@ -6,8 +6,8 @@ dimensions), with dampened counts, inverse document frequencies and unit length.
 Document frequencies cover all training documents.  The centroids of each
 language come from spherical k-means on a bounded sample of its training
 documents (``fit_docs`` in all).  The nearest centroid by cosine gives the
-language; a text farther from it than any text of the sample, by a wide margin,
-is rejected.
+language; a text much farther from it than all but the outliers of the sample is
+rejected.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ CENTROIDS = 4
 ROUNDS = 8
 #: A limit per label is broadcast up to so many labels.
 BROADCAST_LABELS = 10_000
-#: A text is rejected below this part of the smallest cosine of the language's sample.
-REJECT_BELOW = 0.25
+#: A text is rejected below this part of a low quantile of the cosines of the language's sample.
+REJECT_BELOW, OUTLIERS = 0.4, 0.01
 UNKNOWN = "und"
 
 def gram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,7 +82,7 @@ def _vectors(idf: np.ndarray):
 
 
 def spherical_kmeans(v: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Unit centroids, started from the mean and then the vectors farthest from those chosen, and the smallest cosine of a vector to its own."""
+    """Unit centroids, started from the mean and then the vectors farthest from those chosen, and the OUTLIERS quantile of the cosines of vectors to their own."""
     chosen = [v.mean(axis=0)]
     while len(chosen) < min(k, len(v)):
         chosen.append(v[int(np.argmin((v @ np.array(chosen).T).max(axis=1)))])
@@ -92,7 +92,7 @@ def spherical_kmeans(v: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, fl
         mine = (v @ c.T).argmax(axis=1)
         c = np.array([v[mine == j].mean(axis=0) if (mine == j).any() else c[j] for j in range(len(c))])
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c.astype(np.float32), float((v @ c.T).max(axis=1).min())
+    return c.astype(np.float32), float(np.quantile((v @ c.T).max(axis=1), OUTLIERS))
 
 
 class Model:
@@ -118,13 +118,13 @@ class Model:
 
 
 def fit(train: DataFrame, fit_docs: int = FIT_DOCS, centroids: int = CENTROIDS, rounds: int = ROUNDS) -> Model:
-    """A model from ``train(key, lang, text)``; rows without a language or a text teach nothing.
+    """A model from ``train(key, lang, text)``; rows without a language or a letter teach nothing.
 
     The sample takes from each language the documents of the lowest key hashes,
     by a threshold that lets through ``fit_docs`` over all languages (a few more
     or less).  It is what the driver receives, with the sums of frequencies.
     """
-    train = train.where("lang IS NOT NULL AND text IS NOT NULL")
+    train = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     if not labels:

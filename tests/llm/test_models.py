@@ -47,6 +47,26 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and kept.where("text IS NULL").count() == 0
 
 
+def test_texts_of_unseen_languages_are_rejected(spark):
+    """Although the training rows hold texts without letters and of a single word."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    langs = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect() if r["lang"]]
+    empty = [(80_000 + k, t, x) for k, (t, x) in enumerate(itertools.product(["", " ", "12 34", "..."], langs))]
+    model = language_id.fit(language_id.train_rows(docs.union(spark.createDataFrame(empty, docs.schema))))
+    assert (model.floors > 0).all()
+    alien = [
+        "Это совершенно другой текст на русском языке, которого нет в обучении",
+        "これは全く別の言語で書かれた文章です",
+        "το κείμενο αυτό είναι γραμμένο στα ελληνικά",
+        "qzxv wkjq xxzq vvkq jqzx zzxq kkwq",
+        "To jest zupełnie inny tekst napisany po polsku, którego nie ma",
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(alien)], "doc_id long, text string")
+    assert all(r["rejected"] for r in language_id.identify(rows, model).collect())
+    own = language_id.identify(docs.where("text RLIKE '[a-zA-Z]'"), model)
+    assert own.where("rejected").count() == 0
+
+
 def brute_forward(p, classes):
     total = 0.0
     for path in itertools.product(range(len(p.start)), repeat=len(classes)):
