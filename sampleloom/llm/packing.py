@@ -73,7 +73,7 @@ class WordTokenizer:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """Row number and ids of every text of a batch."""
-        for w in words_of(column, cut_marks=True):
+        for w in words_of(column, cut_marks=True, check=True):
             data = w.data.tobytes()
             odd = np.zeros(w.hi - w.lo, dtype=bool)
             plain = np.arange(len(w.starts))
@@ -86,7 +86,7 @@ class WordTokenizer:
             lengths = np.zeros(len(w.starts), dtype=np.int64)
             ids = np.zeros(0, np.int32)
             if len(plain):
-                values, lo, lengths[plain] = self._memory.resolve(w.hashes[plain], new)
+                values, lo, lengths[plain] = self._memory.resolve(w.hashes[plain], w.checks[plain], new)
                 ids = gather_runs(values, lo, lengths[plain])
             ends = np.concatenate(([0], np.cumsum(lengths)))[w.first]
             for r in range(w.hi - w.lo):

@@ -15,13 +15,21 @@ that all start in the initial state: the state map of a unit is a constant plus
 a count.  Counts of units compose by addition, so the counts of all chunks and
 documents come from one parallel prefix sum over the units of a batch.  Unit
 counts are kept in a bounded memory; new units run through the transducer side
-by side, one character per step.
+by side, one character per step, and each keeps only as many steps as the
+longest piece has characters.
+
+A long unit (a text without spaces) is cut into chunks that run side by side,
+each from a guess: the state some characters before it if the unit began there.
+A chunk maps its entry state to an exit state and a count; the maps compose
+where each entry equals the exit before it.  Chunks whose guess was wrong run
+again from the exit before them, until all agree, so the count is exact.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +39,16 @@ from pyspark.sql import functions as F
 
 from sampleloom.llm.packing import tokenizer_path
 from sampleloom.llm.shared import read_table
-from sampleloom.llm.text_arrays import SpanMemory, hash_spans, row_slices, text_buffers
+from sampleloom.llm.text_arrays import SpanMemory, hash_and_check, row_slices, text_buffers
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 MEMORY_UNITS = 1_500_000
 LANES = 4096
+#: Units of more characters are cut into chunks; a chunk's guess starts WARM characters before it.
+CHUNK, WARM = 1024, 256
+#: Pairs of pieces whose encoding is remembered.
+MEMORY_PAIRS = 4_000_000
 
 SPACE = "▁"
 _SHIFT = 21
@@ -93,6 +105,7 @@ class Transducer:
         self._length = np.ones(self.n_pieces, dtype=np.int64)
         for text, k in ids.items():
             self._length[k] = len(text)
+        self.longest = int(self._length.max(initial=1))
 
     def encode(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again (the leftmost of equals)."""
@@ -121,6 +134,9 @@ class Transducer:
         inside = np.minimum(at, max(len(self._pair_keys) - 1, 0))
         known = self._pair_keys[inside] == unique if len(self._pair_keys) else np.zeros(len(unique), dtype=bool)
         if not known.all():
+            if len(self._pair_keys) + int((~known).sum()) > MEMORY_PAIRS:
+                self._pair_keys, self._pair_ok = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+                at, known = np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=bool)
             found = np.fromiter((self._pair_holds(k) for k in unique[~known].tolist()), dtype=bool)
             self._pair_keys = np.insert(self._pair_keys, at[~known], unique[~known])
             self._pair_ok = np.insert(self._pair_ok, at[~known], found)
@@ -145,41 +161,123 @@ class Transducer:
         """Tokens of each span of code points (spaces already spelled as the model spells them)."""
         out = np.zeros(len(starts), dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
-        for k in range(0, len(order), LANES):
+        n_long = int(np.searchsorted(-lengths[order], -CHUNK, side="left"))
+        for k in order[:n_long].tolist():
+            out[k] = self._fold(points[starts[k] : starts[k] + lengths[k]])
+        for k in range(n_long, len(order), LANES):
             lanes = order[k : k + LANES]
-            out[lanes] = self._run(points, starts[lanes], lengths[lanes])
+            out[lanes] = self._run(points, starts[lanes], lengths[lanes], self._fresh(len(lanes)))[0].total
         return out
 
-    def _run(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Lanes in falling order of length, one character of all lanes per step."""
-        longest = int(lengths[0]) if len(lengths) else 0
-        last = np.full((longest + 1, len(starts)), _START, dtype=np.int64)
-        total = np.zeros((longest + 1, len(starts)), dtype=np.int64)
-        state = np.zeros(len(starts), dtype=np.int64)
-        for at in range(1, longest + 1):
+    def _fresh(self, n: int) -> Lanes:
+        """The state in front of a text."""
+        last = np.full((self.longest, n), -1, dtype=np.int64)
+        last[0] = _START
+        return Lanes(np.zeros(n, dtype=np.int64), last, np.zeros((self.longest, n), dtype=np.int64), np.zeros(n, dtype=np.int64))
+
+    def _run(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, enter: Lanes, mark: int = 0) -> tuple[Lanes, Lanes | None]:
+        """Lanes in falling order of length, one character of all lanes per step: their states at the end, and after ``mark`` characters."""
+        ring = self.longest + 1
+        back = -np.arange(self.longest)
+        last = np.zeros((ring, len(starts)), dtype=np.int64)
+        total = np.zeros((ring, len(starts)), dtype=np.int64)
+        last[back % ring], total[back % ring] = enter.last, enter.behind
+        state = enter.state
+        leave, marked = self._fresh(len(starts)), None
+
+        def put(lanes: Lanes, at: int, lo: int, hi: int) -> None:
+            rows = (at + back) % ring
+            lanes.state[lo:hi], lanes.last[:, lo:hi], lanes.total[lo:hi] = state[lo:hi], last[rows, lo:hi], total[at % ring, lo:hi]
+            lanes.behind[:, lo:hi] = total[rows, lo:hi] - total[at % ring, lo:hi]
+
+        for at in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
             n = int(np.searchsorted(-lengths, -at, side="right"))
             ch = points[starts[:n] + at - 1].astype(np.int64)
             state = self._move(state[:n], ch)
             ending = np.where(self._piece[state] >= 0, state, self._shorter[state])
             todo = np.arange(n)
+            now, before = at % ring, (at - 1) % ring
             while True:
                 out_of = ending[todo] == 0
                 plain = todo[out_of]  # no piece ends here: the character is spelled in bytes
                 if len(plain):
-                    last[at, plain] = self.n_pieces + ch[plain]
-                    total[at, plain] = total[at - 1, plain] + 1 + (ch[plain] > 0x7F) + (ch[plain] > 0x7FF) + (ch[plain] > 0xFFFF)
+                    last[now, plain] = self.n_pieces + ch[plain]
+                    total[now, plain] = total[before, plain] + 1 + (ch[plain] > 0x7F) + (ch[plain] > 0x7FF) + (ch[plain] > 0xFFFF)
                 todo = todo[~out_of]
                 if not len(todo):
                     break
                 token = self._piece[ending[todo]]
-                begin = at - self._length[token]
+                begin = (at - self._length[token]) % ring
                 ok = self._pairs_hold(last[begin, todo] << _SHIFT | token)
                 good = todo[ok]
-                last[at, good] = token[ok]
-                total[at, good] = total[begin[ok], good] + 1
+                last[now, good] = token[ok]
+                total[now, good] = total[begin[ok], good] + 1
                 todo = todo[~ok]
                 ending[todo] = self._shorter[ending[todo]]
-        return total[lengths, np.arange(len(starts))]
+            if at == mark:
+                marked = self._fresh(len(starts))
+                put(marked, at, 0, n)
+            put(leave, at, int(np.searchsorted(-lengths, -at, side="left")), n)
+        return leave, marked
+
+    def _fold(self, points: np.ndarray) -> int:
+        """Tokens of a long unit: the state maps of its chunks, composed."""
+        begin = np.arange(0, len(points), CHUNK)
+        n = len(begin)
+        lengths = np.minimum(begin + CHUNK, len(points)) - begin
+        enter, leave = self._fresh(n), self._fresh(n)
+        first = self._run(points, begin[:1], lengths[:1], self._fresh(1))[0]
+        leave.put(np.array([0]), first)
+        warm = np.arange(1, n)
+        for k in range(0, len(warm), LANES):
+            lanes = warm[k : k + LANES]
+            left, entered = self._run(points, begin[lanes] - WARM, lengths[lanes] + WARM, self._fresh(len(lanes)), WARM)
+            left.total -= entered.total
+            enter.put(lanes, entered)
+            leave.put(lanes, left)
+        seen: dict[tuple, Lanes] = {}
+        while True:
+            wrong = 1 + np.flatnonzero(~leave.take(np.arange(n - 1)).same(enter.take(warm)))
+            if not len(wrong):
+                return int(leave.total.sum())
+            enter.put(wrong, leave.take(wrong - 1))
+            fresh = []
+            for k in wrong.tolist():
+                key = points[begin[k] : begin[k] + lengths[k]].tobytes(), enter.key(k)
+                if key in seen:
+                    leave.put(np.array([k]), seen[key])
+                else:
+                    fresh.append((k, key))
+            for a in range(0, len(fresh), LANES):
+                lanes = np.array([k for k, _ in fresh[a : a + LANES]])
+                now = enter.take(lanes)
+                now.total[:] = 0
+                left = self._run(points, begin[lanes], lengths[lanes], now)[0]
+                leave.put(lanes, left)
+                for j, (_, key) in enumerate(fresh[a : a + LANES]):
+                    seen[key] = left.take(np.array([j]))
+
+
+@dataclass
+class Lanes:
+    """States of the transducer: the automaton's, the tokens that end at the last positions, their counts less the count here, and the count here."""
+
+    state: np.ndarray
+    last: np.ndarray
+    behind: np.ndarray
+    total: np.ndarray
+
+    def take(self, at: np.ndarray) -> Lanes:
+        return Lanes(self.state[at], self.last[:, at], self.behind[:, at], self.total[at])
+
+    def put(self, at: np.ndarray, other: Lanes) -> None:
+        self.state[at], self.last[:, at], self.behind[:, at], self.total[at] = other.state, other.last, other.behind, other.total
+
+    def same(self, other: Lanes) -> np.ndarray:
+        return (self.state == other.state) & (self.last == other.last).all(axis=0) & (self.behind == other.behind).all(axis=0)
+
+    def key(self, k: int) -> bytes:
+        return self.state[k].tobytes() + self.last[:, k].tobytes() + self.behind[:, k].tobytes()
 
 
 class TokenCounter:
@@ -218,7 +316,7 @@ class TokenCounter:
             starts = np.flatnonzero(begin)
             ends = np.append(starts[1:], len(body))
             compute = lambda k: (self._count_units(body, starts[k], ends[k]).astype(np.int32), np.ones(len(k), np.int64))  # noqa: B023, E731
-            values, first, _ = self._memory.resolve(hash_spans(body, starts, ends), compute)
+            values, first, _ = self._memory.resolve(*hash_and_check(body, starts, ends), compute)
             scan = np.concatenate(([0], np.cumsum(values[first], dtype=np.int64)))
             edge = np.append(np.searchsorted(starts, fresh), len(starts))
             out[lo + filled] = np.diff(scan[edge])

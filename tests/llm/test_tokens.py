@@ -101,6 +101,70 @@ def test_counts_equal_the_library():
     assert counter.counts(pa.array(texts)).tolist() == [len(x) for x in library.encode([t or "" for t in texts])]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_long_units_equal_the_library_in_bounded_memory():
+    """Chunks of a text without spaces compose to the library's count, whatever their first guess."""
+    import resource
+
+    import sentencepiece
+
+    path = packing.tokenizer_path(token_counts.MODEL)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(4)
+    words = " " + " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 12))) for _ in range(5000))
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000))
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    texts = [cjk + words, noise + words, "x" * 50_001, "ab" * 3000 + "a", thue_morse(5000), "".join(rng.choice(["the", "in", "ing", "a"]) for _ in range(9000)), "😀é" * 2000, "x" * 1024, "x" * 1025]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert token_counts.TokenCounter(path).counts(pa.array(texts)).tolist() == [len(x) for x in library.encode(texts)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 * 1024
+
+
+def test_wrong_guesses_of_chunks_are_run_again(monkeypatch):
+    import sentencepiece
+
+    path = packing.tokenizer_path(token_counts.MODEL)
+    monkeypatch.setattr(token_counts, "CHUNK", 40)
+    monkeypatch.setattr(token_counts, "WARM", 16)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(5)
+    texts = ["".join(rng.choice(["the", "ing", "a", "x", "xx", "er", "é", "的", "😀"]) for _ in range(rng.randrange(20, 200))) for _ in range(150)] + ["x" * 999, "ab" * 333]
+    assert token_counts.TokenCounter(path).counts(pa.array(texts)).tolist() == [len(x) for x in library.encode(texts)]
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from sampleloom.llm.text_arrays import words_of
+
+    pair = [thue_morse(1024), thue_morse(1024, "b", "a")]
+    w = next(words_of(pa.array([" ".join(pair)])))
+    assert w.hashes[0] != w.hashes[1]
+    path = packing.tokenizer_path(token_counts.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    text = " ".join(pair * 2)
+    assert token_counts.TokenCounter(path).counts(pa.array([text])).tolist() == [len(library.encode(text))]
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    ids = [x.tolist() for _, x in packing.WordTokenizer(path).encode(pa.array([text]))]
+    assert ids == [Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids]
+
+
+def test_spans_of_one_hash_keep_their_own_values():
+    from sampleloom.llm.text_arrays import SpanMemory
+
+    spans = [0, 1, 2, 0, 1, 3]
+    hashes, checks = np.array([5, 5, 6, 5, 5, 7], np.uint64), np.array([1, 2, 3, 1, 2, 4], np.uint64)
+    compute = lambda k: (np.repeat([spans[i] for i in k], [spans[i] for i in k]).astype(np.int32), np.array([spans[i] for i in k], np.int64))
+    memory = SpanMemory(100)
+    assert memory.resolve(hashes[:1], checks[:1], lambda k: (np.array([9], np.int32), np.array([1])))[0].tolist() == [9]
+    for _ in range(2):
+        values, lo, length = memory.resolve(hashes, checks, compute)
+        runs = [values[a : a + n].tolist() for a, n in zip(lo, length)]
+        assert runs == [[0] * 0, [1], [2, 2], [], [1], [3, 3, 3]]
+
+
 def test_token_counts_of_edge_rows(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "é x", 1)], "doc_id long, text string, n_tokens int")
     got = sorted((r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs).collect())
