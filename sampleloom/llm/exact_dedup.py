@@ -202,16 +202,30 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col:
     )
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (first column); a null id matches a null id."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__wanted_id"))
-    return docs.join(wanted.hint("shuffle_hash"), docs[id_col].eqNullSafe(wanted["__wanted_id"]), "left_semi")
+def keep_rows(docs: DataFrame, wanted: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """A row of ``docs`` for each different (id, key) of ``wanted``; ``key`` is that of a row of ``docs``.
+
+    A null id matches a null id.  Of rows that agree in id and key, the one whose
+    JSON sorts first stays.
+    """
+    wanted = materialise(wanted.groupBy("id", "key").agg(F.count(F.lit(1)).alias("m")), "wanted")
+    matching = lambda rows: docs.join(rows.hint("shuffle_hash"), docs[id_col].eqNullSafe(rows["id"]) & (key == rows["key"]), "left_semi")
+    once, often = matching(wanted.where("m = 1")), wanted.where("m > 1")
+    if often.isEmpty():
+        return once
+    row = F.struct(*[docs[c] for c in docs.columns])
+    kept = matching(often).groupBy(docs[id_col].alias("i"), key.alias("k")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(kept.select("row.*"))
 
 
 def drop_exact_copies(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """One row for each text, with all its columns: the row with the largest id (a row without an id only if none has one).
+
+    With a ``history``, texts that it holds go altogether.
+    """
     out = exact_duplicates(docs, history, id_col, text_col)
-    return keep_ids(docs, out.where(~F.col("member") & F.col("id").eqNullSafe(F.col("winner"))).select("id"), id_col)
+    winners = out.where(~F.col("member") & F.col("id").eqNullSafe(F.col("winner"))).select("id", F.col("digest").alias("key"))
+    return keep_rows(docs, winners, digest_of(docs[text_col]), id_col)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -34,14 +34,16 @@ def drop_repeated_lines(
     A line is repeated when its key has ``min_points`` code points or more and
     ``min_docs`` documents or more hold it.  Null text counts as one empty line,
     and a document may lose all its lines (its text is then empty).  Repetition
-    inside one document alone drops nothing.  Rows that repeat an id count as
-    one document.  Rows without an id are never the first holder but do count as one
-    document.  Other columns are not read.
+    inside one document alone drops nothing.  Rows that repeat an id are holders
+    by that one id, but each row loses its own lines only.  Rows without an id are
+    never the first holder and count as one document together.  Other columns
+    are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    base = base.withColumn("row", F.xxhash64("text"))  # with the id, this names a row; rows that agree in both lose the same
     lines = F.transform(F.split("text", "\n", -1), line_key)
-    exploded = base.select("id", F.posexplode(lines).alias("pos", "key")).where(F.length("key") >= min_points)
-    hashed = exploded.select("id", "pos", _hashed(F.col("key")).alias("h")).select("id", "pos", "h.h1", "h.h2")
+    exploded = base.select("id", "row", F.posexplode(lines).alias("pos", "key")).where(F.length("key") >= min_points)
+    hashed = exploded.select("id", "row", "pos", _hashed(F.col("key")).alias("h")).select("id", "row", "pos", "h.h1", "h.h2")
     if min_docs == 2:
         held = hashed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("id").isNull()).alias("no_id"))
         repeated = held.where((F.col("first_id") != F.col("last_id")) | (F.col("no_id") & F.col("first_id").isNotNull()))
@@ -53,10 +55,10 @@ def drop_repeated_lines(
     losses = (
         hashed.join(repeated, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy(F.col("id").alias("loser"))
+        .groupBy(F.col("id").alias("loser"), F.col("row").alias("loser_row"))
         .agg(F.collect_set("pos").alias("lost"))
     )
-    joined = base.join(losses.hint("shuffle_hash"), base["id"].eqNullSafe(losses["loser"]), "left")
+    joined = base.join(losses.hint("shuffle_hash"), base["id"].eqNullSafe(losses["loser"]) & (base["row"] == losses["loser_row"]), "left")
     # explode() of a single array makes the parts a column; inside transform() the split would run once per line
     parted = joined.select("id", "text", "lost", F.explode(F.array(F.split("text", "\n", -1))).alias("parts"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lost")

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.llm.components import components
-from sampleloom.llm.exact_dedup import keep_ids
-from sampleloom.llm.shared import materialise, read_table
+from sampleloom.llm.exact_dedup import keep_rows
+from sampleloom.llm.shared import materialise, read_table, text_or_empty
 from sampleloom.llm.text_arrays import mix, words_of
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 40, 5
@@ -99,11 +99,11 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketcher(words: int, bands: int, rows: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, rows_of = batch.column(0), batch.column(2)
             for w in words_of(batch.column(1)):
                 n, digests, keys = [], [], []
                 for r in range(w.hi - w.lo):
@@ -116,7 +116,7 @@ def _sketcher(words: int, bands: int, rows: int):
                         keys.append(np.zeros(0, dtype=np.int64))
                 lengths = np.array([0, *map(len, keys)]).cumsum().astype(np.int32)
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-                columns = [ids.slice(w.lo, w.hi - w.lo), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), flat)]
+                columns = [*(c.slice(w.lo, w.hi - w.lo) for c in (ids, rows_of)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), flat)]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
@@ -163,20 +163,22 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n (size of its shingle set), component (smallest id reachable by links).
+    """One row per row of ``docs``: id, row (hash of its text), n (size of its shingle set), component (smallest id reachable by links), kept.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their
     sets of ``words``-word shingles.  A document with fewer words is one shingle;
     null text and text without words have an empty set and are linked with
-    nothing.  Rows that repeat an id are one document.  A row without an id is linked
-    only with documents of an equal set.  Other columns are not read.
+    nothing.  Rows are documents of their own, also where they repeat an id or have
+    none (a component without any id has none).  One document of each component is kept: the
+    smallest id, and of its texts there the one of the lowest hash; rows that
+    agree in id and text are kept or not together.  Other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = texts.mapInArrow(_sketcher(words, bands, rows), "id long, n long, digest binary, keys array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("row"))
+    sketch = texts.mapInArrow(_sketcher(words, bands, rows), "id long, row long, n long, digest binary, keys array<long>")
     sketch = materialise(sketch, "sketch")
-    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = materialise(classes, "classes")
-    reps = sketch.join(classes.where("rep IS NOT NULL").select("rep").hint("shuffle_hash"), F.col("id") == F.col("rep"), "left_semi")
+    classes = _classes(sketch)
+    mine = sketch["id"].eqNullSafe(classes["rep"]) & (sketch["digest"] == classes["digest"])
+    reps = sketch.join(classes.hint("shuffle_hash"), mine).select(classes["node"].alias("id"), "n", "keys")
     banded = reps.select("id", "n", F.explode(F.array_distinct("keys")).alias("key")).withColumn("n", F.col("n").cast("int"))
     centre = F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", "key"), "id"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), centre.alias("c")).where("lo <> hi")
@@ -184,9 +186,10 @@ def near_duplicates(
     shared = materialise(shared.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "centres")
     buckets = materialise(banded.join(shared, "key").distinct(), "buckets")
 
-    candidates = buckets.select(F.col("id").alias("cand")).distinct()
-    wanted = texts.join(candidates.hint("shuffle_hash"), F.col("id") == F.col("cand"), "left_semi")
-    sets = wanted.mapInArrow(_set_maker(words), "id long, members array<long>").dropDuplicates(["id"])
+    candidates = classes.join(buckets.select(F.col("id").alias("cand")).distinct(), F.col("node") == F.col("cand"), "left_semi")
+    candidates = candidates.select("node", "rep", "rep_row")
+    wanted = texts.join(candidates.hint("shuffle_hash"), texts["id"].eqNullSafe(candidates["rep"]) & (texts["row"] == candidates["rep_row"]))
+    sets = wanted.select(F.col("node").alias("id"), "text").mapInArrow(_set_maker(words), "id long, members array<long>").dropDuplicates(["id"])
     sets = materialise(sets, "sets")
     compared = materialise(_confirmed(_pairs(buckets, "centre", percent), sets, percent), "pairs-first")
     links = compared.where("linked").select("a", "b")
@@ -203,10 +206,29 @@ def near_duplicates(
             links = links.union(materialise(_straggler_links(_clusters(open_rows, links), sets, percent), "links-last"))
             found = components(links)
 
-    classed = sketch.select("id", "n", "digest").join(classes, "digest", "left")
-    own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))
-    resolved = classed.select("id", "n", own.alias("rep")).join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return resolved.select("id", "n", F.coalesce("component", "rep").alias("component"))
+    found = found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_row")).alias("first")  # an id comes before none
+    keepers = classes.join(found, classes["node"] == found["id"]).groupBy("component").agg(first)
+    members = found.join(keepers, "component").select(F.col("id").alias("member"), "first")
+    classed = sketch.select("id", "row", "n", "digest").join(classes.select("digest", "node", "rep", "rep_row"), "digest", "left")
+    resolved = classed.join(members, F.col("node") == F.col("member"), "left")
+    empty = F.col("n") == 0
+    rep = F.when(empty, F.col("id")).otherwise(F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("first.rep")))
+    rep_row = F.when(F.col("first").isNull(), F.col("rep_row")).otherwise(F.col("first.rep_row"))
+    return resolved.select("id", "row", "n", rep.alias("component"), (empty | F.col("id").eqNullSafe(rep) & (F.col("row") == rep_row)).alias("kept"))
+
+
+def _classes(sketch: DataFrame) -> DataFrame:
+    """digest, node, rep, rep_row of each class of equal sets: its smallest id, the hash of that row's text, and the number it goes by in links.
+
+    The number is the id, unless another class has that id too or the class has none: then it is a hash of the digest.
+    """
+    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("low"))
+    classes = materialise(classes.select("digest", "rep", F.col("low.row").alias("rep_row")), "classes")
+    again = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR rep IS NULL").select(F.col("rep").alias("again"))
+    named = classes.join(again, classes["rep"].eqNullSafe(again["again"]), "left_anti").withColumn("node", F.col("rep"))
+    unnamed = classes.join(again, classes["rep"].eqNullSafe(again["again"]), "left_semi").withColumn("node", F.xxhash64("digest"))
+    return materialise(named.unionByName(unnamed), "nodes")
 
 
 def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -296,9 +318,9 @@ def _block_links(percent: int):
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay (the smallest id of each component), with all their columns."""
+    """The documents that are kept, one of each component, with all their columns; rows that agree in id and text are one."""
     out = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col)
-    return keep_ids(docs, out.where(F.col("id").eqNullSafe(F.col("component"))).select("id"), id_col)
+    return keep_rows(docs, out.where("kept").select("id", F.col("row").alias("key")), F.xxhash64(text_or_empty(docs[text_col])), id_col)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,21 @@ def test_exact_nulls_repeats_and_empty_table(spark):
     assert exact_dedup.drop_exact_copies(rows).columns == rows.columns
 
 
+REPEATS = [(3, "x"), (3, "same"), (9, "same"), (7, "twice"), (7, "twice"), (None, "n1"), (None, "same"), (None, None), (5, ""), (None, "n2"), (None, "n2")]
+
+
+def test_exact_stage_leaves_one_row_of_each_text(spark):
+    rows = spark.createDataFrame([(i, t, k, "c") for k, (i, t) in enumerate(REPEATS)], "doc_id long, text string, m int, key string")
+    kept = exact_dedup.drop_exact_copies(rows)
+    assert kept.columns == rows.columns
+    best = {}
+    for i, t in REPEATS:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    got = sorted((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in kept.collect())
+    assert got == sorted(best.items())
+    assert [r["m"] for r in kept.where("text IN ('twice', 'n2')").orderBy("m").collect()] == [3, 10]  # in the order of their JSON
+
+
 def brute_components(texts, words, percent):
     sets = {}
     for k, t in texts.items():
@@ -122,6 +137,24 @@ def test_near_edge_rows(spark):
     assert got == {(None, 4): 1, (4, 4): 2, (7, 7): 1}
     assert near_dedup.near_duplicates(rows.limit(0)).count() == 0
     assert near_dedup.drop_near_copies(rows).columns == rows.columns
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(rows).collect()) == [(4, "a b c"), (7, None)]
+
+
+def test_near_rows_of_one_id_are_documents_of_their_own(spark):
+    words = [f"w{k}" for k in range(60)]
+    base, near, other = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(f"u{k}" for k in range(60))
+    rows = [(1, base), (1, base), (2, near), (2, other), (None, other + " more"), (None, "lone text without any id"), (5, other.upper()), (5, "t5"), (1, "t1"), (None, "lone text without any id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["id"], r["component"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (2, 2, True): 1, (None, 2, False): 1, (None, None, True): 2, (5, 2, False): 1, (5, 5, True): 1}
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(frame).collect()]
+    assert Counter(kept) == Counter([(1, base), (2, other), (None, "lone text without any id"), (5, "t5"), (1, "t1")])
+
+
+def test_words_of_one_polynomial_hash_are_not_linked(spark):
+    thue = lambda a, b: "".join((a, b)[bin(k).count("1") & 1] for k in range(1024))
+    rows = spark.createDataFrame([(1, thue("a", "b")), (2, thue("b", "a"))], "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in near_dedup.near_duplicates(rows, words=2).collect()} == {1: 1, 2: 2}
 
 
 def test_densified_signature_estimates_similarity():
@@ -168,6 +201,21 @@ def test_lines_match_brute_force(spark):
     assert line_dedup.drop_repeated_lines(rows.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Holders are ids; each row loses its own lines only."""
+    a, b, c = "shared line one\nown line of A", "first line of B\nshared line one", "shared line one\nshared line two"
+    rows = [(1, "shared line one\nshared line two"), (2, a), (2, b), (None, c), (None, "own line of N\nother line of N"), (2, b)]
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in t.split("\n"):
+            holders[line].add(i)
+    first = {k: min(i for i in v if i is not None) for k, v in holders.items() if len(v) > 1}
+    want = sorted((i or 0, "\n".join(x for x in t.split("\n") if x not in first or i == first[x])) for i, t in rows)
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"] or 0, r["text"]) for r in out) == want
+    assert all(r["n_dropped"] == r["n_lines"] - (r["text"].count("\n") + 1 if r["text"] else 0) for r in out)
+
+
 def test_line_threshold_and_native_plan(spark):
     rows = spark.createDataFrame([(k, "one long line here\nunique line no %d" % k) for k in range(4)] + [(9, "another long line"), (10, "another long line")], "doc_id long, text string")
     out = line_dedup.drop_repeated_lines(rows, min_docs=3)
