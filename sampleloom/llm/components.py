@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampleloom.llm.shared import materialise
+from sampleloom.llm.shared import discard, materialise
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -26,13 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("low"))
-        low = materialise(low, "low")  # so that the join shuffles both sides and Spark can split a hub's links
-        large = both.join(low, both["u"] == low["node"]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        near = materialise(low, "low")  # so that the join shuffles both sides and Spark can split a hub's links
+        large = both.join(near, both["u"] == near["node"]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = materialise(large, "large-star")
         low = materialise(large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")), "low")
         joined = large.join(low, large["u"] == low["node"]).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = joined.union(low.select(F.col("node").alias("u"), F.col("low").alias("v"))).distinct()
-        edges = materialise(small, "small-star")
+        last, edges = edges, materialise(small, "small-star")
+        discard(last, near, large, low)
         before, seen = seen, _fingerprint(edges)
         if before == seen:
             break

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK = "file:///tmp/checkpoints/sampleloom"
 _written: list[tuple[SparkSession, str]] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,7 +53,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     bound_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -60,6 +64,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, _path_of.pop(table))
+
+
 def release() -> None:
     """Delete the tables that operators wrote; call it once their results are stored."""
     while _written:

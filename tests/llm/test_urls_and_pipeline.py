@@ -24,20 +24,19 @@ def brute_judge(pages):
     ranks = []
     for verdict, turn in (("allow", False), ("block", True)):
         hosts = {h for h, _, r in parts.values() if r and r.verdict == verdict}
-        start = {h: url_filter.RANK_ONE // len(hosts) for h in hosts}
+        moving = {h: url_filter.MASS // len(hosts) for h in hosts}
         flow = [(b, a, n) if turn else (a, b, n) for (a, b), n in edges.items()]
         out = defaultdict(int)
         for u, _, n in flow:
             out[u] += n
-        rank = dict(start)
+        rank = defaultdict(int, moving)
         for _ in range(url_filter.STEPS):
-            nxt = defaultdict(int)
+            now = defaultdict(int)
             for u, v, n in flow:
-                if u in rank:
-                    nxt[v] += (rank[u] * 85 // 100) * (n * url_filter.SHARE_ONE // out[u]) // url_filter.SHARE_ONE
-            for h, s in start.items():
-                nxt[h] += s * 15 // 100
-            rank = nxt
+                now[v] += moving.get(u, 0) * 85 // 100 * n // out[u]
+            for h, m in now.items():
+                rank[h] += m
+            moving = now
         ranks.append(rank)
     return {
         k: (host, path, r.name if r else None, r.verdict if r else "block" if ranks[1].get(host, 0) > ranks[0].get(host, 0) else "allow")
@@ -77,6 +76,25 @@ def test_verdicts_match_brute_force(spark):
     assert url_filter.judge_urls(rows.limit(0)).count() == 0
 
 
+def test_a_link_changes_only_the_hosts_it_leads_to(spark):
+    """Without any link, seeds are judged by their own mass; a link between two others does not touch them."""
+    shown = [(1, "http://a.com/fr/"), (2, "http://a.com/de/"), (3, "http://a.com/x"), (4, "http://b.com/de/"), (5, "http://b.com/x"), (6, "http://c.org/"), (7, "http://d.org/"), (8, "http://n.net/")]
+    shape = "page_id long, url string, html string"
+    plain = spark.createDataFrame([(k, u, None) for k, u in shown], shape)
+    linked = plain.union(spark.createDataFrame([(9, "http://one.net/", link("two.net"))], shape))
+    verdicts = [{r["id"]: r["verdict"] for r in url_filter.judge_urls(x).collect()} for x in (plain, linked)]
+    assert verdicts[0][3] == "block" and verdicts[0][5] == "block" and verdicts[0][8] == "allow"
+    assert verdicts[1] == verdicts[0] | {9: "allow"}
+
+
+def test_rank_reaches_far_and_through_hubs(spark):
+    """A chain of 30 hosts, and a hub of many links in front of the blocked host: nothing is rounded away."""
+    chain = [(k, f"http://h{k}.net/", link(f"h{k + 1}.net") if k < 30 else link("bad.com")) for k in range(1, 31)]
+    hub = [(100, "http://hub.net/", link("bad.com", *[f"t{k}.net" for k in range(2000)])), (101, "http://fan.net/", link("hub.net"))]
+    rows = spark.createDataFrame([*chain, *hub, (200, "http://bad.com/de/", None)], "page_id long, url string, html string")
+    assert {r["verdict"] for r in url_filter.judge_urls(rows).collect()} == {"block"}
+
+
 def test_linked_hosts_match_the_sql(spark):
     import duckdb
 
