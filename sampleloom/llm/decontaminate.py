@@ -14,21 +14,26 @@
     the document's words covers most of the item, or a good part of it together
     with the item's closing words (its answer).
 
-Items come in blocks of bounded size, so a large benchmark is searched block by
-block.  Items too short for a window are looked up as whole word sequences.
+Items come in blocks of bounded size and blocks in groups.  One pass over the
+documents searches the blocks of a group one after another, and only documents
+in which an item is found leave a row, so the driver holds a group at a time and a
+benchmark of any size gives the same rows.  Items too short for a window are looked up as whole
+word sequences.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.llm.near_dedup import shingle_set
-from sampleloom.llm.shared import read_table
+from sampleloom.llm.shared import materialise, read_table
 from sampleloom.llm.text_arrays import SYMBOLS, Words, gather_runs, mix, words_of
 
 FEATURES, RANK = 4096, 40
@@ -42,6 +47,10 @@ COMMON, CELLS = 32, 1 << 22
 ANSWER_WORDS = 5
 #: A block of items goes to all workers: so many items and bytes of text at most (one item may exceed the bytes alone).
 BLOCK_ITEMS, BLOCK_BYTES = 2000, 4 << 20
+#: Blocks of items that one pass over the documents searches.
+GROUP_BLOCKS = 4
+#: Rows and item numbers of findings that may be broadcast (32 MB).
+BROADCAST_NUMBERS = 1_000_000
 SLICE = 1 << 19
 
 _U = np.uint64
@@ -279,15 +288,16 @@ def _share(w: Words, row: int, at: int, item: np.ndarray) -> float:
 
 
 def _finding(blocks: list[list[tuple[int, str]]], space: np.ndarray):
-    schema = pa.schema([("id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("share", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [Items(b, space) for b in blocks]
         for batch in batches:
-            for w in words_of(batch.column(1), SLICE, SYMBOLS):
+            for w in words_of(batch.column(2), SLICE, SYMBOLS):
                 found, best = _by_row(w, loaded, space)
-                columns = [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(found, pa.list_(pa.int64())), pa.array(best, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                hit = pa.array([k for k, f in enumerate(found) if f], pa.int64())
+                columns = [batch.column(0).slice(w.lo, w.hi - w.lo), batch.column(1).slice(w.lo, w.hi - w.lo), pa.array(found, pa.list_(pa.int64())), pa.array(best, pa.float64())]
+                yield pa.RecordBatch.from_arrays([c.take(hit) for c in columns], schema=schema)
 
     return run
 
@@ -302,19 +312,10 @@ def _by_row(w: Words, loaded: list[Items], space: np.ndarray) -> tuple[list[list
     return [sorted(f, key=lambda x: (x is None, x)) for f in found], best
 
 
-def _dropping(blocks: list[list[tuple[int, str]]], space: np.ndarray, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [Items(b, space) for b in blocks]
-        for batch in batches:
-            clean = [not x for w in words_of(batch.column(text_at), SLICE, SYMBOLS) for x in _by_row(w, loaded, space)[0]]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return run
-
-
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_items: int | None = None, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, in the order of their ids; a block at a time is on the driver."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
+    block_items = block_items or BLOCK_ITEMS
     block, size = [], 0
     for r in rows.toLocalIterator():
         n = len(r["t"].encode())
@@ -327,34 +328,48 @@ def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_byte
         yield block
 
 
+def findings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, row (hash of the text), item_ids, share of the documents in which an item is found; rows that agree in id and text are one.
+
+    It is marked for a broadcast while it is small, which is counted; else joins shuffle it.
+    """
+    space = fit_space(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _row_of(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    kinds = "id long, row long, item_ids array<long>, share double"
+    blocks, parts = item_blocks(benchmark), []
+    while group := list(itertools.islice(blocks, GROUP_BLOCKS)):
+        parts.append(materialise(rows.mapInArrow(_finding(group, space), kinds), "findings"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], kinds)
+    found = functools.reduce(DataFrame.unionByName, parts)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids"))))
+    found = materialise(found.groupBy("id", "row").agg(ids.alias("item_ids"), F.max("share").alias("share")), "found")
+    size = found.agg(F.sum(1 + F.size("item_ids"))).first()[0] or 0
+    return F.broadcast(found) if size <= BROADCAST_NUMBERS else found
+
+
+def _row_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, item_ids (sorted, empty if clean), share (of the best covered item).
 
     Null or empty texts are clean, null items and items without words are
-    skipped, an empty benchmark finds nothing.  Rows are independent (where the
-    benchmark takes several blocks, rows of one id become one row).  Other
-    columns are not read.
+    skipped, an empty benchmark finds nothing.  Rows are independent, also where they
+    repeat an id or have none.  Other columns are not read.
     """
-    space = fit_space(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kinds = "id long, item_ids array<long>, share double"
-    parts = [rows.mapInArrow(_finding([b], space), kinds) for b in item_blocks(benchmark)]
-    if not parts:
-        return rows.select("id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("share"))
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
+    found = findings(docs, benchmark, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), _row_of(F.col(text_col)).alias("doc_row"))
+    joined = rows.join(found, rows["doc"].eqNullSafe(found["id"]) & (rows["doc_row"] == found["row"]), "left")
+    return joined.select(F.col("doc").alias("id"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows in which no item is found, with all their columns."""
-    space, at = fit_space(docs, text_col), docs.columns.index(text_col)
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(_dropping([block], space, at), docs.schema)
-    return docs
+    found = findings(docs, benchmark, id_col, text_col)
+    mine = docs[id_col].cast("long").eqNullSafe(found["id"]) & (_row_of(docs[text_col]) == found["row"])
+    return docs.join(found, mine, "left_anti")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

@@ -202,17 +202,55 @@ def test_edits_at_both_ends_of_an_item_do_not_hide_it(spark):
     assert len(made) > 10 and [k for k in made if k not in got[90_000 + k]] == []
 
 
-def test_items_come_in_blocks(spark):
+def test_items_come_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(k, "x" * 10) for k in range(7)] + [(9, "y" * 100), (8, None)], "item_id long, text string")
     sizes = [[i for i, _ in b] for b in decontaminate.item_blocks(bench, 3, 35)]
     assert sizes == [[0, 1, 2], [3, 4, 5], [6], [9]]
     docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], "doc_id long, text string")
     two = spark.createDataFrame([(1, "two three"), (2, "four five")], "item_id long, text string")
-    keep = decontaminate.item_blocks
-    try:
-        decontaminate.item_blocks = lambda b: keep(b, 1)
-        got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(docs, two).collect()}
-        assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, two).collect()] == [3]
-    finally:
-        decontaminate.item_blocks = keep
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(docs, two).collect()}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, two).collect()] == [3]
     assert got == {1: [1], 2: [2], 3: []}
+
+
+def test_rows_do_not_depend_on_the_size_of_the_benchmark(spark, monkeypatch):
+    """Rows that repeat an id or have none stay apart, with one block, several blocks, and several passes; columns may have any name."""
+    item = " ".join(f"i{k}" for k in range(30))
+    texts = [(9006, "clean text"), (9006, "x " + item), (None, item + " tail"), (None, "clean text"), (9006, "clean text"), (None, None), (7, "other words " + item.upper()), (8, "")]
+    docs = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, item_ids int, row int")
+    bench = spark.createDataFrame([(1, item), (2, "never seen at all by anyone"), (3, None), (4, item + " and more")], "item_id long, text string")
+    seen = []
+    for items, group in ((2000, 4), (1, 4), (1, 1)):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", items)
+        monkeypatch.setattr(decontaminate, "GROUP_BLOCKS", group)
+        for limit in (1_000_000, 0):
+            monkeypatch.setattr(decontaminate, "BROADCAST_NUMBERS", limit)
+            rows = sorted((str(r["id"]), tuple(r["item_ids"]), round(r["share"], 6)) for r in decontaminate.contaminated(docs, bench).collect())
+            kept = decontaminate.drop_contaminated(docs, bench)
+            assert kept.columns == docs.columns and sorted(r["item_ids"] for r in kept.collect()) == [0, 3, 4, 5, 7]
+            seen.append(rows)
+    assert all(s == seen[0] for s in seen) and len(seen[0]) == len(texts)
+    assert [s[1] for s in seen[0]].count(()) == 5 and (1, 4) in {s[1] for s in seen[0]}
+
+
+def test_leaks_anywhere_in_an_item_are_found(spark):
+    """Long items with a fifth of their words replaced at both ends, at one end, or anywhere: of those whose share passes, nine in ten are found at least."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    pool = " ".join(r["text"] or "" for r in docs.limit(60).collect()).split()
+    items = {k: [rng.choice(pool) for _ in range(240)] for k in range(45)}
+    passes, rows = set(), []
+    for k, words in items.items():
+        copy = list(words)
+        at = [*range(24), *range(216, 240)] if k % 3 == 0 else range(44) if k % 3 == 1 else rng.sample(range(240), 45)
+        for j in at:
+            copy[j] = rng.choice(pool)
+        if brute_lcs([w.lower() for w in words], [w.lower() for w in copy]) / 240 >= decontaminate.SURE:
+            passes.add(k)
+        lead = rng.randrange(200)
+        rows.append((90_000 + k, " ".join(pool[lead : lead + rng.randrange(60)] + copy + pool[:20])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(both, bench).where("id >= 90000").collect()}
+    assert len(passes) > 20 and sum(k in got[90_000 + k] for k in passes) >= 0.9 * len(passes)
