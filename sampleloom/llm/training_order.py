@@ -7,8 +7,8 @@ network over the smallest domain of an even number of bits that holds n, walked
 until it lands below n again, gives each number a slot of its own.  Nothing is
 drawn or sorted at random; the key alone repeats the order.
 
-A shard is one file of ``shard_rows`` consecutive slots.  All records have the
-same size, so slot s is at byte (s mod shard_rows) * stride of shard
+A shard is one file of ``shard_rows`` consecutive slots, and a task writes a range
+of consecutive shards.  All records have the same size, so slot s is at byte (s mod shard_rows) * stride of shard
 s div shard_rows, and a reader may stop and resume anywhere.  A record is: slot (8
 bytes), first document (8), position of the first id in it (8), ids (4), their
 CRC-32 (4), ``window`` ids (2 bytes each, unused ones zero), a line feed; numbers
@@ -33,7 +33,9 @@ from sampleloom.llm import packing
 from sampleloom.llm.shared import materialise, new_path, read_table
 
 WINDOW = 2048
-SHARD_ROWS = 2048
+SHARD_ROWS = 8192
+#: Records that one task writes at most, where more tasks than ``spark.sql.shuffle.partitions`` are needed for it (270 MB).
+TASK_ROWS = 1 << 16
 KEY = 20260101
 ROUNDS = 6
 _HEAD = "<qqqiI"
@@ -85,6 +87,8 @@ def _sequencer(tokenizer: str | None, window: int, end_id: int):
 
         def sequence(ids: np.ndarray, at: tuple):
             nonlocal nth
+            if int(ids.max(initial=0)) > 0xFFFF:
+                raise ValueError(f"id {int(ids.max())} does not fit the two bytes of a record")
             ids = ids.astype("<u2")
             rows.append((part, nth, *at, len(ids), zlib.crc32(ids.tobytes()), *_planes(ids)))
             nth += 1
@@ -154,8 +158,9 @@ def write_training_order(
 
     Null text counts as empty and gives the end id alone; a null id is kept as
     none.  Rows that repeat a document are sequences of their own.  No documents
-    give no shards.  The vocabulary must have 65,536 ids at most.
+    give no shards.  An id above 65,535 is an error.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kinds = "part long, nth long, first_id long, first_at long, n int, crc32 long, low binary, high binary"
     made = materialise(rows.mapInArrow(_sequencer(tokenizer, window, end_id), kinds), "sequences")
@@ -166,7 +171,10 @@ def write_training_order(
         bases[part], n = n, n + sizes[part]
     kinds = "shard long, slot long, first_id long, first_at long, n int, crc32 long, low binary, high binary"
     slotted = made.mapInArrow(_slotter(bases, n, key, shard_rows), kinds)
-    ordered = slotted.repartition("shard").sortWithinPartitions("shard", "slot")
+    n_shards = -(-n // shard_rows)
+    n_tasks = max(1, min(n_shards, max(-(-n // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    per_task = max(1, -(-n_shards // n_tasks))
+    ordered = slotted.repartitionById(n_tasks, F.floor(F.col("shard") / per_task).cast("int")).sortWithinPartitions("slot")
     records = ordered.mapInArrow(_recorder(window), "shard long, record binary")
     records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
     return n

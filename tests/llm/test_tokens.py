@@ -172,6 +172,18 @@ def test_token_counts_of_edge_rows(spark):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_ids_that_do_not_fit_a_record_are_an_error(monkeypatch):
+    class Wide:
+        def encode(self, column):
+            yield 0, np.array([1, 65_536], np.int32)
+
+    monkeypatch.setattr(packing, "word_tokenizer", lambda path: Wide())
+    monkeypatch.setattr(training_order.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x"])], names=["id", "text"])
+    with pytest.raises(ValueError, match="65536"):
+        list(training_order._sequencer(None, 2, 2)(iter([batch])))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 5000])
 def test_slots_are_a_permutation(n):
     slots = training_order.permute(np.arange(n), n)
@@ -192,5 +204,11 @@ def test_shards_round_trip_and_resume(spark):
     assert all(r["byte_offset"] == r["slot"] % 8 * training_order.stride_of(32) for r in rows)
     rest = training_order.read_shards(spark, path, 32, 8, from_slot=n // 2).orderBy("slot").collect()
     assert [r["slot"] for r in rest] == list(range(n // 2, n))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("shard", "path").collect()
+    assert sorted(r["shard"] for r in files) == list(range(-(-n // 8)))  # one file each
+    by_task = defaultdict(list)
+    for r in files:
+        by_task[r["path"].rsplit("/part-", 1)[1].split("-")[0]].append(r["shard"])
+    assert len(by_task) == 4 and all(sorted(x) == list(range(min(x), max(x) + 1)) for x in by_task.values())
     empty = new_path(spark, "test-order")
     assert training_order.write_training_order(docs.limit(0), empty) == 0
