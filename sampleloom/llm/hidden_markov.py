@@ -6,10 +6,11 @@ of the training count.  So the states' parameters have a fixed size, while word
 counts grow with the corpus and never leave the executors.
 
 *   Word counts: words are counted per block of documents, summed per word over
-    all blocks, and every block receives the counts of its own words back.
+    all blocks, and every block receives the counts of its own words back by a join.
 *   Training: Baum-Welch, every round over the whole of all training documents,
     from a start that no data shapes, until the likelihood settles (ROUNDS at
-    most).  Each task sums the expected counts of its documents, the sums meet in
+    most).  The classes of all training tokens are written once, two bytes each.
+    Each task sums the expected counts of its documents, the sums meet in
     a grouped aggregation.
     Expected counts are gathered over pieces of at most PIECE tokens.
 *   Scoring: the scaled forward recursion over the whole text gives the exact
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sampleloom.llm.language_id import held_out_column
@@ -36,7 +37,8 @@ ROUNDS = 22
 #: Training ends when a round adds less than this part to the log likelihood.
 SETTLED = 1e-5
 BLOCK_BYTES = 16 << 20
-SLICE = 1 << 21
+#: Bytes of text scored, and trained on, side by side.
+SLICE, TRAIN_SLICE = 1 << 21, 1 << 22
 SMOOTH = 0.1
 
 _END = CLASSES
@@ -110,31 +112,40 @@ class Counts:
         order = np.argsort(-length, kind="stable")
         begin, length, head = begin[order], length[order], nth[order] == 0
         longest = int(length[0]) if len(length) else 0
-        live = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest)]
-        seen = [params.emission[classes[begin[:n] + t]] for t, n in enumerate(live)]
-        alphas, scales = [], []
+        if not longest:
+            return
+        # token t of all pieces that have one stands at at[t]..at[t+1]-1; states are rows
+        live = np.searchsorted(-length, -np.arange(longest), side="left")
+        at = np.concatenate(([0], np.cumsum(live)))
+        where = classes[np.concatenate([begin[:n] + t for t, n in enumerate(live)])]
+        seen = np.take(np.ascontiguousarray(params.emission.T, dtype=np.float32), where, axis=1)
+        start, later = (x.astype(np.float32)[:, None] for x in (params.start, params.later))
+        onto, alpha, scale = params.transition.astype(np.float32), np.empty_like(seen), np.empty(len(where), dtype=np.float32)
+        from_all, now = np.ascontiguousarray(onto.T), np.zeros(0)
         for t, n in enumerate(live):
-            now = seen[t] * (np.where(head[:, None], params.start, params.later) if t == 0 else alphas[-1][:n] @ params.transition)
-            scales.append(now.sum(axis=1))
-            alphas.append(now / scales[-1][:, None])
-        self.likelihood += sum(float(np.log(s).sum()) for s in scales)
-        beta = np.ones((len(length), len(params.start)))
-        gammas: list = [None] * longest
+            here = slice(at[t], at[t] + n)
+            now = seen[:, here] * (from_all @ now[:, :n] if t else np.where(head, start, later))
+            np.sum(now, axis=0, out=scale[here])
+            now /= scale[here]
+            alpha[:, here] = now
+        self.likelihood += float(np.log(scale).sum(dtype=np.float64))
+        seen /= scale
+        beta, pairs = np.ones((len(params.start), len(length)), dtype=np.float32), np.zeros_like(self.transition)
         for t in range(longest - 1, -1, -1):
-            n = live[t]
             if t + 1 < longest:
-                m = live[t + 1]
-                onward = seen[t + 1] * beta[:m] / scales[t + 1][:, None]
-                self.transition += params.transition * (alphas[t][:m].T @ onward)
-                beta[:m] = onward @ params.transition.T
-            gammas[t] = alphas[t] * beta[:n]
-        if longest:
-            self.start += gammas[0][head].sum(axis=0)
-            self.later += gammas[0][~head].sum(axis=0)
-            where = np.concatenate([classes[begin[:n] + t] for t, n in enumerate(live)])
-            mass = np.concatenate(gammas)
-            for s in range(mass.shape[1]):
-                self.emission[:, s] += np.bincount(where, weights=mass[:, s], minlength=CLASSES + 1)
+                m, then = live[t + 1], slice(at[t + 1], at[t + 2])
+                onward = seen[:, then] * beta[:, :m]
+                pairs += alpha[:, at[t] : at[t] + m] @ onward.T
+                beta[:, :m] = onto @ onward
+            here = slice(at[t], at[t + 1])
+            if t % 32 == 0:  # a token's mass is 1; this undoes what single precision lets it drift
+                beta[:, : live[t]] /= (alpha[:, here] * beta[:, : live[t]]).sum(axis=0)
+            alpha[:, here] *= beta[:, : live[t]]
+        self.transition += params.transition * pairs
+        self.start += alpha[:, : live[0]][:, head].sum(axis=1, dtype=np.float64)
+        self.later += alpha[:, : live[0]][:, ~head].sum(axis=1, dtype=np.float64)
+        for s, mass in enumerate(alpha):
+            self.emission[:, s] += np.bincount(where, weights=mass, minlength=CLASSES + 1)
 
     def params(self) -> Params:
         return Params.from_counts(self.start, self.later, self.transition, self.emission)
@@ -146,8 +157,9 @@ def _expectation(params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(len(params.start))
         for batch in batches:
-            for w in words_of(batch.column(0)):
-                counts.add(params, *class_sequences(w.hashes, w.first))
+            for classes, sizes in zip(batch.column(0), batch.column(1), strict=True):
+                edges = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), dtype="<i8"))))
+                counts.add(params, np.frombuffer(classes.as_buffer(), dtype="<u2").astype(np.int64), edges)
         rows = np.concatenate([np.arange(CLASSES + 1), [_FIRST, _LATER, _LIKELIHOOD], _TRANSITION - np.arange(len(params.start))])
         table = np.concatenate([counts.emission, counts.start[None], counts.later[None], np.full((1, len(params.start)), counts.likelihood), counts.transition])
         yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(c) for c in table.T.copy()]], names=names)
@@ -155,14 +167,24 @@ def _expectation(params: Params):
     return run
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """classes (two bytes a token) and the number of tokens of each text, of a slice of texts in each row."""
+    for batch in batches:
+        for w in words_of(batch.column(0), TRAIN_SLICE):
+            classes, edges = class_sequences(w.hashes, w.first)
+            row = [pa.array([x.tobytes()], pa.binary()) for x in (classes.astype("<u2"), np.diff(edges).astype("<i8"))]
+            yield pa.RecordBatch.from_arrays(row, names=["classes", "sizes"])
+
+
 def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Params:
     """Parameters from ``texts(key, text)``; the driver receives the summed counts of each round."""
     params, last = Params.initial(states), None
     if texts.isEmpty():
         return params
     kinds = "row long, " + ", ".join(f"s{k} double" for k in range(states))
+    tokens = materialise(texts.select("text").mapInArrow(_classed, "classes binary, sizes binary"), "token-classes")
     for _ in range(rounds):
-        parts = texts.select("text").mapInArrow(_expectation(params), kinds)
+        parts = tokens.mapInArrow(_expectation(params), kinds)
         total = Counts(states)
         for r in parts.groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect():  # CLASSES + states + 4 rows
             row, values = r["row"], np.array(r[1:])
@@ -270,10 +292,9 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, rounds: int = R
 
     dealt = blocked.select("block", (~F.col("held_out")).alias("learn"), "text").repartition("block").sortWithinPartitions("block")
     words = dealt.mapInArrow(_block_words, "block long, h long, n long")
-    by_word = Window.partitionBy("h")
-    counted = words.select("block", "h", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("head"))
-    counted = materialise(counted, "word-counts")
-    heads = counted.where("head AND c > 0").groupBy(F.pmod("h", F.lit(CLASSES)).alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
+    words = materialise(words, "block-words")
+    sums = materialise(words.groupBy("h").agg(F.sum("n").alias("c")), "word-counts")
+    heads = sums.where("c > 0").groupBy(F.pmod("h", F.lit(CLASSES)).alias("class")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
     class_total, n_tokens, n_types = np.zeros(CLASSES), size["ends"], int(size["ends"] > 0)
     for r in heads.collect():  # CLASSES rows at most
         class_total[r["class"]] = r["c"] + r["v"]
@@ -281,6 +302,8 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, rounds: int = R
 
     params = train(rows.where(~F.col("held_out")).select(F.col("id").alias("key"), "text"), states, rounds=rounds)
     none = lambda kind: F.lit(None).cast(kind)
+    # both sides are tables, so Spark can split the rows of a word that very many blocks hold
+    counted = words.select("block", "h").join(sums, "h")
     lookups = counted.select("block", F.lit(0).alias("kind"), none("long").alias("id"), none("boolean").alias("held_out"), none("string").alias("text"), "h", "c")
     texts = blocked.select("block", F.lit(1).alias("kind"), "id", "held_out", "text", none("long").alias("h"), none("long").alias("c"))
     stream = lookups.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")

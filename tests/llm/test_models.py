@@ -126,6 +126,26 @@ def test_scores_of_texts(spark):
     assert hidden_markov.score_texts(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_base_score_and_known_words_match_the_formula(spark):
+    """Over several blocks, with a word that every block holds."""
+    rng = random.Random(9)
+    words = [f"Word{k}" for k in range(300)]
+    texts = ["the " + " ".join(rng.choice(words[: rng.choice([5, 300])]) for _ in range(rng.randrange(80))) for _ in range(120)] + [None, "", "new words only", "THE the"]
+    held = [k % 7 == 2 or k > 120 for k in range(len(texts))]
+    docs = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, h boolean")
+    tokens = [[*(t or "").lower().split(), "\n"] for t in texts]
+    counts = {}
+    for own, h in zip(tokens, held):
+        for x in [] if h else own:
+            counts[x] = counts.get(x, 0) + 1
+    total, kinds = sum(counts.values()), len(counts)
+    got = {r["id"]: r for r in hidden_markov.score_texts(docs, F.col("h"), rounds=2, block_bytes=4000).collect()}
+    for k, own in enumerate(tokens):
+        base = sum(math.log10((counts.get(x, 0) + 1) / (total + kinds + 1)) for x in own)
+        assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(own), sum(x in counts for x in own), total)
+        assert abs(got[k]["base_score"] - base) < 1e-6 and got[k]["held_out"] == held[k]
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     out = hidden_markov.op9_query(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
