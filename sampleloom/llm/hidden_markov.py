@@ -74,23 +74,55 @@ def class_sequences(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return out, edges
 
 
-def forward(params: Params, classes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each row's classes; all rows advance one token per step."""
+def forward(params: Params, classes: np.ndarray, edges: np.ndarray, piece: int = 128) -> np.ndarray:
+    """log10 likelihood of each row's classes.
+
+    A row's first ``piece`` tokens are a vector; each later piece is the matrix
+    that it multiplies the vector before it by.  All pieces run side by side, then
+    each row's matrices are applied in order, so the result is that of the plain recursion.
+    """
     size = np.diff(edges)
-    order = np.argsort(-size, kind="stable")
-    begin, size = edges[:-1][order], size[order]
-    total = np.zeros(len(size))
-    alpha = np.zeros((len(size), len(params.start)))
-    falling = -size
-    for t in range(int(size[0]) if len(size) else 0):
-        n = int(np.searchsorted(falling, -t, side="left"))
-        now = params.emission[classes[begin[:n] + t]] * (params.start if t == 0 else alpha[:n] @ params.transition)
-        scale = now.sum(axis=1)
-        alpha[:n] = now / scale[:, None]
+    n_pieces = np.maximum(-(-size // piece), 1)
+    heads = np.cumsum(n_pieces) - n_pieces
+    row = np.repeat(np.arange(len(size)), n_pieces)
+    nth = np.arange(len(row)) - heads[row]
+    begin, length = edges[:-1][row] + nth * piece, np.minimum(size[row] - nth * piece, piece)
+    vector, total = _advance(params, classes, begin[heads], length[heads], params.start[:, None])
+    later = np.flatnonzero(nth)
+    matrix, scale = _advance(params, classes, begin[later], length[later], params.transition.T)
+    place = np.zeros(len(row), dtype=np.int64)
+    place[later] = np.arange(len(later))
+    for k in range(1, int(n_pieces.max(initial=0))):
+        rows = np.flatnonzero(n_pieces > k)
+        at = place[heads[rows] + k]
+        now = np.einsum("jni,in->jn", matrix[:, at], vector[:, rows])
+        norm = now.sum(axis=0)
+        vector[:, rows] = now / norm
+        total[rows] += scale[at] + np.log10(norm)
+    return total
+
+
+def _advance(params: Params, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state, piece, column) after each piece, scaled to a sum of 1, and log10 of the scale; ``enter`` has the states' weights at the first token in columns."""
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    n_states, width = len(params.start), enter.shape[1]
+    out, total = np.zeros((n_states, len(order), width)), np.zeros(len(order))
+    emission, from_all = np.ascontiguousarray(params.emission.T), np.ascontiguousarray(params.transition.T)
+    now = np.zeros(0)
+    for t in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -t, side="left"))
+        before = (from_all @ now[:, :n].reshape(n_states, -1)).reshape(n_states, n, width) if t else enter[:, None, :]
+        now = emission[:, classes[begin[:n] + t]][:, :, None] * before
+        scale = now.sum(axis=(0, 2))
+        now /= scale[:, None]
         total[:n] += np.log10(scale)
-    out = np.zeros(len(total))
-    out[order] = total
-    return out
+        ended = slice(int(np.searchsorted(-length, -t - 1, side="left")), n)
+        out[:, ended] = now[:, ended]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    out = out[:, back]
+    return (out[:, :, 0] if width == 1 else out), total[back]
 
 
 class Counts:
@@ -237,13 +269,29 @@ def _runs(blocks: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(a), int(b), int(blocks[a])) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    """Where the sorted keys of each value of the leading bits start."""
+    bits = max(1, len(keys).bit_length())
+    return np.concatenate(([0], np.cumsum(np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))))
+
+
+def _find(keys: np.ndarray, buckets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of hashes that are all among the sorted keys, in steps from the start of their bucket."""
+    bits = (len(buckets) - 1).bit_length() - 1
+    at = buckets[(wanted >> np.uint64(64 - bits)).astype(np.int64)]
+    todo = np.flatnonzero(keys[at] != wanted)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[keys[at[todo]] != wanted[todo]]
+    return at
+
+
 def _scorer(params: Params, class_total: np.ndarray, n_tokens: int, n_types: int, n_ends: int):
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     base_total = np.log10(n_tokens + n_types + 1)
 
-    def score(w, keys: np.ndarray, counts: np.ndarray):
-        at = np.searchsorted(keys, w.hashes)
-        c = counts[at] if len(keys) else np.zeros(len(w.hashes), np.int64)  # every word of a block is among the block's keys
+    def score(w, keys: np.ndarray, counts: np.ndarray, buckets: np.ndarray):
+        c = counts[_find(keys, buckets, w.hashes)] if len(keys) else np.zeros(len(w.hashes), np.int64)
         cls = (w.hashes % np.uint64(CLASSES)).astype(np.int64)
         log_c = np.log10(c + 1)
         sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[w.first])
@@ -253,7 +301,7 @@ def _scorer(params: Params, class_total: np.ndarray, n_tokens: int, n_types: int
         return n + 1, sums(c > 0) + (n_ends > 0), base, total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts, parts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        now, keys, counts, buckets, parts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
             blocks, is_doc = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.int64)
             for lo, hi, mark in _runs(blocks * 2 + is_doc):
@@ -267,9 +315,10 @@ def _scorer(params: Params, class_total: np.ndarray, n_tokens: int, n_types: int
                     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
                     order = np.argsort(keys)
                     keys, counts, parts = keys[order], counts[order], []
+                    buckets = _buckets(keys)
                 for w in words_of(part.column(4), SLICE):
                     rows = part.slice(w.lo, w.hi - w.lo)
-                    columns = [rows.column(2), rows.column(3), *[pa.array(x) for x in score(w, keys, counts)]]
+                    columns = [rows.column(2), rows.column(3), *[pa.array(x) for x in score(w, keys, counts, buckets)]]
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
