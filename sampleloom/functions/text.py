@@ -16,7 +16,12 @@ def parse_gain(value: Column) -> Column:
 
 
 def format_gain(db: Column) -> Column:
-    return F.format_string("%+.2f dB", db)
+    """Six characters and the unit, so a value can be written over another in place."""
+    return F.format_string("%+06.2f dB", F.greatest(F.least(db, F.lit(99.99)), F.lit(-99.99)))
+
+
+def format_peak(linear: Column) -> Column:
+    return F.format_string("%.6f", F.greatest(F.least(linear, F.lit(9.999999)), F.lit(0.0)))
 
 
 def gain_of(tags: Column, kind: str = "TRACK") -> Column:
@@ -26,10 +31,11 @@ def gain_of(tags: Column, kind: str = "TRACK") -> Column:
     return F.coalesce(parse_gain(first(f"REPLAYGAIN_{kind}_GAIN")), fixed)
 
 
-def clamp_gain(db: Column, peak: Column, ceiling: float = 12.0) -> Column:
-    """A gain no higher than its ceiling and than what the peak leaves room for."""
-    room = F.when(peak > 0, -20 * F.log10(peak))
-    return F.least(db, F.lit(ceiling), F.coalesce(room, F.lit(ceiling)))
+def resolve_gain(mode: Column, fixed: Column, tags: Column, ceiling: float = 12.0) -> Column:
+    """Decibels to apply, the ceiling at most: ``fixed``, or the gain of the tags (``album`` falls back to the track's), 0 without one."""
+    track, album = gain_of(tags), gain_of(tags, "ALBUM")
+    gain = F.when(mode == "fixed", fixed).when(mode == "track", track).when(mode == "album", F.coalesce(album, track))
+    return F.least(F.coalesce(gain, F.lit(0.0)), F.lit(ceiling))
 
 
 def valid_tag_key(key: Column) -> Column:

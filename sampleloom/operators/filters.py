@@ -134,8 +134,8 @@ def true_peak_bank(factor: int) -> np.ndarray:
 def true_peak_of(planes: np.ndarray, rate: int, before: bool = True, after: bool = True) -> float:
     """``before`` and ``after``: the track begins or ends here, so silence lies beyond; else only what has real neighbours counts.
 
-    The largest magnitude of the samples and of the signal between them: 4 points a sample below 96 kHz, 2 to 192 kHz."""
-    factor = 4 if rate < 96000 else 2 if rate < 192000 else 1
+    The largest magnitude of the samples and of the signal between them: 4 points a sample below 96 kHz, 2 up to and at 192 kHz."""
+    factor = 4 if rate < 96000 else 2 if rate <= 192000 else 1
     peak = float(np.abs(planes).max(initial=0.0))
     if factor > 1 and planes.shape[1]:
         padded = np.pad(planes.astype(np.float64), ((0, 0), (TRUE_PEAK_TAPS * before, TRUE_PEAK_TAPS * after)))

@@ -66,7 +66,7 @@ def integrated(powers: DataFrame, keys: Keys = _KEYS) -> DataFrame:
 
 def loudness_range(powers: DataFrame, keys: Keys = _KEYS) -> DataFrame:
     """keys, lra: distance of the nearest-rank 10 % and 95 % of the gated short-term powers; 0 below two windows."""
-    gated = _gated(powers, 0.01, True, keys)
+    gated = _gated(powers, 0.01, False, keys)
     ranked = gated.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("power")) - 1)
     ranked = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     at = lambda f: F.max(F.when(F.col("rank") == F.floor(f * (F.col("n") - 1) + 0.5), F.col("power")))

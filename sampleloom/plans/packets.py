@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sampleloom.core.errors import error
-from sampleloom.core.positions import ceil_div, ceil_to, floor_to
+from sampleloom.core.positions import ceil_div, ceil_to, div, floor_to
 
 #: Codecs whose packets may be moved, and the samples decoded before a cut point.
 PREROLL = {"opus": 3840, "aac-lc": 1024, "he-aac": 24576}
@@ -25,13 +25,11 @@ def with_pts(packets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def packet_grid(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, grid: the duration common to all packets but the last, else 0."""
+    """keys, grid: the duration common to all packets but the last, else 0; a single packet has no grid."""
     last = F.max("seq").over(Window.partitionBy(*keys))
-    body = packets.withColumn("__last", last)
     inner = F.when(F.col("seq") < F.col("__last"), F.col("dur"))
-    out = body.groupBy(*keys).agg(F.min(inner).alias("lo"), F.max(inner).alias("hi"), F.max("dur").alias("only"), F.count(F.lit(1)).alias("n"))
-    grid = F.when(F.col("n") == 1, F.col("only")).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0).cast("long"))
-    return out.select(*keys, F.greatest(grid, F.lit(0).cast("long")).alias("grid"))
+    out = packets.withColumn("__last", last).groupBy(*keys).agg(F.min(inner).alias("lo"), F.max(inner).alias("hi"))
+    return out.select(*keys, F.when((F.col("lo") == F.col("hi")) & (F.col("lo") > 0), F.col("lo")).otherwise(F.lit(0).cast("long")).alias("grid"))
 
 
 def remux_reason(codec: Column, target_codec: Column, changes_samples: Column, delay: Column, padding: Column) -> Column:
@@ -46,62 +44,100 @@ def remux_reason(codec: Column, target_codec: Column, changes_samples: Column, d
 
 
 def remux_trailer(decoded: Column, samples: Column, delay: Column, padding: Column) -> tuple[Column, Column]:
-    """samples and padding to declare: unknown samples (-1) follow from the trims, a delay fixes the padding."""
-    known = F.when(samples < 0, decoded - delay - padding).otherwise(samples)
-    return known, F.when(delay > 0, decoded - delay - known).otherwise(padding)
+    """samples and padding to declare, neither below 0: an unknown length (-1) follows from the trims, else a delay fixes the padding."""
+    zero = F.lit(0).cast("long")
+    length = F.when(samples < 0, F.greatest(decoded - delay - padding, zero)).otherwise(samples)
+    return length, F.when((samples >= 0) & (delay > 0), F.greatest(decoded - delay - samples, zero)).otherwise(padding)
 
 
 def cut_spans(spans: DataFrame, keys: list[str], preroll: int) -> DataFrame:
     """The packet windows of cut spans.
 
     ``spans`` has keys, idx, from_sample, to_sample (-1: to the end), grid,
-    delay, samples and padding.  Adds the sample bounds on the decoded timeline
-    (df, dt), the packet bounds (sd, su), and an error for spans that cannot be cut.
+    delay, samples (-1: unknown) and padding.  Adds the sample bounds on the decoded
+    timeline (df, dt), the packet bounds (sd, su; -1 where the end is unknown), whether
+    the window is open at its end, and an error for spans that cannot be cut:
+    invalid-request where no other way could serve them, unsupported-format
+    where they need decoding.
     """
     order = Window.partitionBy(*keys).orderBy("idx")
-    end = F.col("delay") + F.col("samples") + F.col("padding")
-    to_end = F.col("to_sample") < 0
-    rows = spans.withColumn("df", F.col("from_sample") + F.col("delay"))
-    rows = rows.withColumn("dt", F.when(to_end, F.col("delay") + F.col("samples")).otherwise(F.col("to_sample") + F.col("delay")))
-    rows = rows.withColumn("sd", F.greatest(floor_to(F.col("df") - preroll, F.greatest(F.col("grid"), F.lit(1))), F.lit(0)))
-    rows = rows.withColumn("su", F.when(to_end, end).otherwise(F.least(ceil_to(F.col("dt"), F.greatest(F.col("grid"), F.lit(1))), end)))
+    start, stop, samples = F.col("from_sample"), F.col("to_sample"), F.col("samples")
+    to_end, known, last = stop == -1, samples >= 0, F.lead("idx").over(order).isNull()
+    grid, end = F.greatest(F.col("grid"), F.lit(1)), F.col("delay") + samples + F.col("padding")
+    rows = spans.withColumns({"df": start + F.col("delay"), "last": last, "after": F.lag("to_sample").over(order)})
+    rows = rows.withColumn("dt", F.when(~to_end, stop + F.col("delay")).when(known, F.col("delay") + samples).otherwise(F.lit(-1).cast("long")))
+    rows = rows.withColumn("sd", F.greatest(floor_to(F.col("df") - preroll, grid), F.lit(0).cast("long")))
+    rows = rows.withColumn("su", F.when(~to_end, ceil_to(F.col("dt"), grid)).when(known, end).otherwise(F.lit(-1).cast("long")))
+    rows = rows.withColumn("clamped", F.col("last") & ~to_end & known & (F.col("su") > end)).withColumn("su", F.when(F.col("clamped"), end).otherwise(F.col("su")))
+    lead = F.first(F.col("df") - F.col("sd")).over(order)
     problem = (
-        F.when(F.col("grid") <= 0, error("unsupported-format", "packet durations vary"))
-        .when((F.col("from_sample") < 0) | (~to_end & (F.col("to_sample") <= F.col("from_sample"))), error("invalid-request", "empty span"))
-        .when(F.col("dt") > F.col("delay") + F.col("samples"), error("invalid-request", "span past the end"))
+        F.when((start < 0) | (stop < -1), error("invalid-request", "negative span"))
+        .when(to_end & ~F.col("last"), error("invalid-request", "a span to the end is not the last"))
+        .when((start >= MAX_CUT_SAMPLE) | (stop >= MAX_CUT_SAMPLE), error("invalid-request", "span off the timeline"))
+        .when((~to_end & (stop <= start)) | (to_end & known & (start == samples)), error("invalid-request", "empty span"))
+        .when(known & ((start > samples) | (stop > samples)), error("invalid-request", "span past the end"))
+        .when(start < F.col("after"), error("invalid-request", "spans out of order"))
+        .when(F.col("grid") <= 0, error("unsupported-format", "packet durations vary"))
+        .when((F.col("delay") < 0) | (F.col("delay") >= MAX_CUT_SAMPLE) | (F.col("grid") >= MAX_CUT_SAMPLE), error("unsupported-format", "trims off the timeline"))
         .when(F.lead("sd").over(order) < F.col("su"), error("unsupported-format", "spans share packets"))
+        .when(F.col("clamped") & (lead == 0), error("unsupported-format", "the last packet's length is not known"))
     )
-    return rows.withColumn("error", problem)
+    return rows.withColumn("open", F.col("last") & (to_end | F.col("clamped"))).withColumn("error", problem).drop("last", "after", "clamped")
+
+
+def _refusal() -> Column:
+    """The error of a track: that of the first span with an invalid request, or else of the first that needs decoding."""
+    return F.min_by("error", F.when(F.col("error").isNotNull(), F.struct(F.col("error.code") != "invalid-request", "idx")))
 
 
 def cut_result(spans: DataFrame, keys: list[str]) -> DataFrame:
     """keys, delay, padding, samples to declare for the kept packets, or an error."""
     first = F.min_by(F.col("df") - F.col("sd"), "idx")
-    last = F.max_by(F.col("su") - F.col("dt"), "idx")
-    out = spans.groupBy(*keys).agg(first.alias("new_delay"), last.alias("new_padding"), F.sum(F.col("su") - F.col("sd")).alias("kept"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("idx"))).alias("error"))
+    unknown = F.col("su") < 0
+    last = F.max_by(F.when(unknown, F.col("padding")).otherwise(F.col("su") - F.col("dt")), "idx")
+    out = spans.groupBy(*keys).agg(
+        first.alias("new_delay"), last.alias("new_padding"), F.sum(F.col("su") - F.col("sd")).alias("kept"), F.max(unknown).alias("unknown"), _refusal().alias("error")
+    )
     fine = F.col("error").isNull()
+    length = F.when(F.col("unknown"), F.lit(-1).cast("long")).otherwise(F.col("kept") - F.col("new_delay") - F.col("new_padding"))
     return out.select(
         *keys,
         F.when(fine, F.col("new_delay")).alias("delay"),
         F.when(fine, F.col("new_padding")).alias("padding"),
-        F.when(fine, F.col("kept") - F.col("new_delay") - F.col("new_padding")).alias("samples"),
+        F.when(fine, length).alias("samples"),
         F.col("error.code").alias("error"),
     )
 
 
 def cut_packets(packets: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """The packets inside the windows (keys, idx, sd, su), with new positions; a packet across a window's edge is marked ``straddles``."""
-    inside = (F.col("pts") < F.col("su")) & (F.col("pts") + F.col("dur") > F.col("sd"))
-    kept = packets.join(windows.select(*keys, "idx", "sd", "su"), keys).where(inside)
-    kept = kept.withColumn("straddles", (F.col("pts") < F.col("sd")) | (F.col("pts") + F.col("dur") > F.col("su")))
-    before = Window.partitionBy(*keys).orderBy("idx", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return kept.withColumn("new_pts", F.coalesce(F.sum("dur").over(before), F.lit(0).cast("long")))
+    """keys, idx, seq, dur, new_pts of the packets inside the windows that ``cut_spans`` gives, or keys and error of a track that cannot be cut.
+
+    A packet across a window's edge refuses the cut of its track, as the windows'
+    own errors do.  Windows are disjoint, so a packet's window is the last that
+    starts before the packet ends: one pass over both in order.
+    """
+    bound = F.struct("idx", "sd", "su", "open")
+    starts = windows.where("error IS NULL").select(*keys, F.col("sd").alias("at"), F.lit(1).alias("kind"), bound.alias("w"), *[F.lit(None).cast("long").alias(c) for c in ("seq", "dur", "pts")])
+    ends = packets.select(*keys, (F.col("pts") + F.col("dur")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(starts.schema["w"].dataType).alias("w"), "seq", "dur", "pts")
+    so_far = Window.partitionBy(*keys).orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.unionByName(ends).withColumn("w", F.last("w", ignorenulls=True).over(so_far)).where("kind = 0 AND w IS NOT NULL")
+    kept = placed.where(F.col("w.open") | (F.col("pts") < F.col("w.su"))).withColumn("end", F.col("pts") + F.col("dur"))
+    across = (F.col("pts") < F.col("w.sd")) | (~F.col("w.open") & (F.col("end") > F.col("w.su")))
+    refused = windows.groupBy(*keys).agg(_refusal().getField("code").alias("error")).where("error IS NOT NULL")
+    across = kept.where(across).select(*keys).distinct().join(refused, keys, "left_anti").withColumn("error", F.lit("unsupported-format"))
+    refused = refused.unionByName(across)
+    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.join(refused.select(*keys), keys, "left_anti").withColumn("new_pts", F.coalesce(F.sum("dur").over(before), F.lit(0).cast("long")))
+    return kept.select(*keys, "w.idx", "seq", "dur", "new_pts", F.lit(None).cast("string").alias("error")).unionByName(refused, allowMissingColumns=True)
 
 
 def seek_packets(packets: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, target, start: the position of the last sync packet at or before the target."""
-    found = packets.join(targets, keys).where(F.col("sync") & (F.col("pts") <= F.col("target")))
-    return found.groupBy(*keys, "target").agg(F.max("pts").alias("start"))
+    """keys, target, start: the position of the last sync packet at or before the target, in one pass over both in order."""
+    marks = packets.where("sync").select(*keys, F.col("pts").alias("at"), F.lit(0).alias("kind"), F.col("pts").alias("start"))
+    asked = targets.select(*keys, F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"))
+    so_far = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(asked).withColumn("start", F.last("start", ignorenulls=True).over(so_far))
+    return found.where("kind = 1 AND start IS NOT NULL").select(*keys, F.col("at").alias("target"), "start")
 
 
 def snap_segment(seconds: float, rate: Column, grid: Column) -> Column:
@@ -128,6 +164,7 @@ def segments(tracks: DataFrame) -> DataFrame:
     return rows.withColumns({"decode_samples": hi - lo, "shown_samples": shown})
 
 
-def peak_bandwidth(bitrate: Column, rate: Column, frame: Column) -> Column:
-    """Bits per second to declare: the coded rate, 64 bits of box overhead per frame, and a margin."""
-    return bitrate + F.floor(rate / frame * 64).cast("long") + 2000
+def peak_bandwidth(bitrate: Column, rate: Column, frame: Column, channels: Column, bits: Column) -> Column:
+    """Bits per second to declare: the coded rate (or that of the samples where none is declared), 64 bits of box overhead per whole frame a second, and a margin."""
+    base = F.when(bitrate == 0, rate * channels * F.greatest(bits, F.lit(16))).otherwise(bitrate)
+    return (base + div(rate, frame) * 64 + 2000).cast("long")

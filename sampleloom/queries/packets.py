@@ -13,6 +13,14 @@ _KEY = ["track"]
 PREROLL, GRID = 16, 8
 
 
+#: The packets of even tracks have one duration, those of odd tracks their own.
+_GRIDDED_SQL = PACKETS_SQL.replace("CAST(l_quantity AS BIGINT) AS dur", f"CASE WHEN l_orderkey % 2 = 0 THEN {GRID} ELSE CAST(l_quantity AS BIGINT) END AS dur")
+
+
+def _gridded(spark, d):
+    return packets(spark, d).withColumn("dur", F.when(F.col("track") % 2 == 0, F.lit(GRID).cast("long")).otherwise(F.col("dur")))
+
+
 @query("packet_positions", f"WITH {PACKETS_SQL} SELECT track, seq, dur, pts FROM packets")
 def packet_positions(spark, d):
     return plan.with_pts(packets(spark, d), _KEY).select("track", "seq", "dur", "pts")
@@ -20,11 +28,12 @@ def packet_positions(spark, d):
 
 @query(
     "packet_grid",
-    f"""WITH {PACKETS_SQL}, l AS (SELECT *, max(seq) OVER (PARTITION BY track) AS last FROM packets)
-SELECT track, CASE WHEN count(*) = 1 THEN max(dur) WHEN min(dur) FILTER (seq < last) = max(dur) FILTER (seq < last) THEN min(dur) FILTER (seq < last) ELSE 0 END AS grid FROM l GROUP BY track""",
+    f"""WITH {_GRIDDED_SQL}, l AS (SELECT *, max(seq) OVER (PARTITION BY track) AS last FROM packets)
+SELECT track, CASE WHEN count(*) > 1 AND count(DISTINCT dur) FILTER (seq < last) = 1 AND min(dur) FILTER (seq < last) > 0 THEN min(dur) FILTER (seq < last) ELSE 0 END AS grid FROM l GROUP BY track""",
 )
 def packet_grid(spark, d):
-    return plan.packet_grid(packets(spark, d), _KEY)
+    """The common duration of each track's packets; every other track has packets of 8."""
+    return plan.packet_grid(_gridded(spark, d), _KEY)
 
 
 _TRACKS_SQL = f"""
@@ -33,8 +42,8 @@ WITH {PACKETS_SQL}, tracks AS (
          CASE track % 3 WHEN 0 THEN 'opus' WHEN 1 THEN 'flac' ELSE 'pcm' END AS codec FROM packets GROUP BY track)"""
 
 
-def _tracks(spark, d):
-    decoded = packets(spark, d).groupBy("track").agg(F.sum("dur").alias("decoded"))
+def _tracks(spark, d, rows=packets):
+    decoded = rows(spark, d).groupBy("track").agg(F.sum("dur").alias("decoded"))
     t = F.col("track")
     return decoded.select(
         "track",
@@ -49,11 +58,14 @@ def _tracks(spark, d):
 @query(
     "remux_trailer",
     _TRACKS_SQL
-    + """ SELECT track, s AS samples, CASE WHEN delay > 0 THEN decoded - delay - s ELSE padding END AS padding
-FROM (SELECT *, CASE WHEN samples < 0 THEN decoded - delay - padding ELSE samples END AS s FROM tracks)""",
+    + """, odd AS (SELECT track, decoded, delay, padding * 40 AS padding, CASE WHEN track % 7 = 0 THEN decoded + 50 ELSE samples END AS samples FROM tracks)
+SELECT track, CASE WHEN samples < 0 THEN greatest(0, decoded - delay - padding) ELSE samples END AS samples,
+       CASE WHEN samples < 0 THEN padding WHEN delay > 0 THEN greatest(0, decoded - delay - samples) ELSE padding END AS padding FROM odd""",
 )
 def remux_trailer(spark, d):
-    samples, padding = plan.remux_trailer(F.col("decoded"), F.col("samples"), F.col("delay"), F.col("padding"))
+    """Lengths and paddings to declare, of tracks that state more samples or trims than they have, too."""
+    samples = F.when(F.col("track") % 7 == 0, F.col("decoded") + 50).otherwise(F.col("samples"))
+    samples, padding = plan.remux_trailer(F.col("decoded"), samples, F.col("delay"), F.col("padding") * 40)
     return _tracks(spark, d).select("track", samples.alias("samples"), padding.alias("padding"))
 
 
@@ -69,36 +81,46 @@ def remux_eligibility(spark, d):
     return _tracks(spark, d).select("track", reason.alias("reason"))
 
 
-_SPANS_SQL = _TRACKS_SQL + f""", spans AS (
-  SELECT track, decoded, delay, padding, decoded - delay - padding AS samples, 0 AS idx, decoded // 8 AS f, decoded // 4 AS t FROM tracks WHERE decoded > 40
-  UNION ALL SELECT track, decoded, delay, padding, decoded - delay - padding, 1, decoded // 2, -1 FROM tracks WHERE decoded > 40
+_SPANS_SQL = _TRACKS_SQL.replace(PACKETS_SQL, _GRIDDED_SQL) + f""", spans AS (
+  SELECT track, delay, padding, samples, 0 AS idx, decoded // 8 AS f, decoded // 4 AS t FROM tracks
+  UNION ALL SELECT track, delay, padding, samples, 1, CASE WHEN track % 11 = 0 THEN decoded // 6 ELSE decoded // 2 END, CASE WHEN track % 3 = 0 THEN decoded // 2 + decoded // 3 ELSE -1 END FROM tracks
+), bounds AS (
+  SELECT *, f + delay AS df, CASE WHEN t <> -1 THEN t + delay WHEN samples >= 0 THEN delay + samples ELSE -1 END AS dt,
+         greatest((f + delay - {PREROLL}) // {GRID} * {GRID}, 0) AS sd,
+         CASE WHEN t <> -1 THEN (t + delay + {GRID - 1}) // {GRID} * {GRID} WHEN samples >= 0 THEN delay + samples + padding ELSE -1 END AS snapped,
+         idx = 1 AND t <> -1 AND samples >= 0 AS bounded FROM spans
 ), cut AS (
-  SELECT *, f + delay AS df, CASE WHEN t < 0 THEN delay + samples ELSE t + delay END AS dt,
-         greatest((f + delay - {PREROLL}) - ((f + delay - {PREROLL}) % {GRID} + {GRID}) % {GRID}, 0) AS sd,
-         CASE WHEN t < 0 THEN decoded ELSE least((t + delay + {GRID - 1}) // {GRID} * {GRID}, decoded) END AS su FROM spans
+  SELECT *, CASE WHEN bounded THEN least(snapped, delay + samples + padding) ELSE snapped END AS su, bounded AND snapped > delay + samples + padding AS clamped FROM bounds
 ), judged AS (
-  SELECT *, CASE WHEN t >= 0 AND t <= f THEN 'invalid-request' WHEN dt > delay + samples THEN 'invalid-request'
-                 WHEN lead(sd) OVER (PARTITION BY track ORDER BY idx) < su THEN 'unsupported-format' END AS error FROM cut)"""
+  SELECT *, idx = 1 AND (t = -1 OR clamped) AS open,
+         CASE WHEN t <> -1 AND t <= f THEN 'invalid-request' WHEN t = -1 AND samples >= 0 AND f = samples THEN 'invalid-request'
+              WHEN samples >= 0 AND (f > samples OR t > samples) THEN 'invalid-request' WHEN idx = 1 AND f < lag(t) OVER w THEN 'invalid-request'
+              WHEN lead(sd) OVER w < su THEN 'unsupported-format' WHEN clamped AND first(df - sd) OVER w = 0 THEN 'unsupported-format' END AS error
+  FROM cut WINDOW w AS (PARTITION BY track ORDER BY idx)
+), refused AS (
+  SELECT track, CASE WHEN bool_or(error = 'invalid-request') THEN 'invalid-request' ELSE max(error) END AS error FROM judged GROUP BY track)"""
 
 
 def _cut(spark, d):
-    tracks = _tracks(spark, d).where("decoded > 40").withColumn("samples", F.col("decoded") - F.col("delay") - F.col("padding"))
-    first = tracks.withColumns({"idx": F.lit(0), "from_sample": div(F.col("decoded"), 8), "to_sample": div(F.col("decoded"), 4)})
-    second = tracks.withColumns({"idx": F.lit(1), "from_sample": div(F.col("decoded"), 2), "to_sample": F.lit(-1).cast("long")})
+    tracks, decoded, t = _tracks(spark, d, _gridded), F.col("decoded"), F.col("track")
+    first = tracks.withColumns({"idx": F.lit(0), "from_sample": div(decoded, 8), "to_sample": div(decoded, 4)})
+    stop = F.when(t % 3 == 0, div(decoded, 2) + div(decoded, 3)).otherwise(F.lit(-1).cast("long"))
+    second = tracks.withColumns({"idx": F.lit(1), "from_sample": F.when(t % 11 == 0, div(decoded, 6)).otherwise(div(decoded, 2)), "to_sample": stop})
     return plan.cut_spans(first.unionByName(second).withColumn("grid", F.lit(GRID).cast("long")), _KEY, PREROLL)
 
 
-@query("cut_windows", _SPANS_SQL + " SELECT track, idx, df, dt, sd, su, error FROM judged")
+@query("cut_windows", _SPANS_SQL + " SELECT track, idx, df, dt, sd, su, open, error FROM judged")
 def cut_windows(spark, d):
     """Packet windows of two spans per track, with what forbids them."""
-    return _cut(spark, d).select("track", "idx", "df", "dt", "sd", "su", F.col("error.code").alias("error"))
+    return _cut(spark, d).select("track", "idx", "df", "dt", "sd", "su", "open", F.col("error.code").alias("error"))
 
 
 @query(
     "cut_trailer",
     _SPANS_SQL
-    + """, r AS (SELECT track, min_by(df - sd, idx) AS delay, max_by(su - dt, idx) AS padding, sum(su - sd)::BIGINT AS kept, min_by(error, idx) FILTER (error IS NOT NULL) AS error FROM judged GROUP BY track)
-SELECT track, CASE WHEN error IS NULL THEN delay END AS delay, CASE WHEN error IS NULL THEN padding END AS padding, CASE WHEN error IS NULL THEN kept - delay - padding END AS samples, error FROM r""",
+    + """, r AS (SELECT track, min_by(df - sd, idx) AS delay, max_by(CASE WHEN su < 0 THEN padding ELSE su - dt END, idx) AS padding, sum(su - sd)::BIGINT AS kept, bool_or(su < 0) AS unknown FROM judged GROUP BY track)
+SELECT track, CASE WHEN error IS NULL THEN delay END AS delay, CASE WHEN error IS NULL THEN padding END AS padding,
+       CASE WHEN error IS NULL THEN CASE WHEN unknown THEN -1 ELSE kept - delay - padding END END AS samples, error FROM r JOIN refused USING (track)""",
 )
 def cut_trailer(spark, d):
     return plan.cut_result(_cut(spark, d), _KEY)
@@ -107,12 +129,14 @@ def cut_trailer(spark, d):
 @query(
     "cut_packets",
     _SPANS_SQL
-    + """, k AS (SELECT j.track, j.idx, p.seq, p.dur, p.pts < sd OR p.pts + p.dur > su AS straddles FROM judged j JOIN packets p ON p.track = j.track AND p.pts < su AND p.pts + p.dur > sd)
-SELECT *, coalesce(sum(dur) OVER (PARTITION BY track ORDER BY idx, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_pts FROM k""",
+    + """, inside AS (SELECT j.track, j.idx, p.seq, p.dur, p.pts < sd OR (NOT open AND p.pts + p.dur > su) AS across FROM judged j JOIN packets p ON p.track = j.track AND (open OR p.pts < su) AND p.pts + p.dur > sd),
+stop AS (SELECT track, coalesce(error, CASE WHEN track IN (SELECT track FROM inside WHERE across) THEN 'unsupported-format' END) AS error FROM refused)
+SELECT track, idx, seq, dur, coalesce(sum(dur) OVER (PARTITION BY track ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_pts, error FROM inside JOIN stop USING (track) WHERE error IS NULL
+UNION ALL SELECT track, NULL, NULL, NULL, NULL, error FROM stop WHERE error IS NOT NULL""",
 )
 def cut_packets(spark, d):
-    """The packets inside the windows, retimed; those across an edge are marked."""
-    return plan.cut_packets(plan.with_pts(packets(spark, d), _KEY), _cut(spark, d), _KEY).select("track", "idx", "seq", "dur", "straddles", "new_pts")
+    """The packets inside the windows, retimed; tracks with a packet across an edge, or a span that cannot be cut, are refused."""
+    return plan.cut_packets(plan.with_pts(_gridded(spark, d), _KEY), _cut(spark, d), _KEY)
 
 
 @query(
@@ -155,6 +179,12 @@ def segment_conservation(spark, d):
     return _segments(spark, d).groupBy("track").agg(F.sum("shown_samples").alias("shown"))
 
 
-@query("peak_bandwidth", _TRACKS_SQL + " SELECT track, decoded * 8 + CAST(floor(48000 / (track % 4 * 120 + 120) * 64) AS BIGINT) + 2000 AS bandwidth FROM tracks")
+@query(
+    "peak_bandwidth",
+    _TRACKS_SQL + " SELECT track, CASE WHEN track % 6 = 0 THEN 48000 * 2 * greatest(track % 2 * 24, 16) ELSE decoded * 8 END + 48000 // (track % 4 * 120 + 120) * 64 + 2000 AS bandwidth FROM tracks",
+)
 def peak_bandwidth(spark, d):
-    return _tracks(spark, d).select("track", plan.peak_bandwidth(F.col("decoded") * 8, F.lit(48000), F.col("track") % 4 * 120 + 120).alias("bandwidth"))
+    """Declared rates, of tracks without a coded rate too; some frames do not divide the rate."""
+    t = F.col("track")
+    rate = F.when(t % 6 == 0, F.lit(0).cast("long")).otherwise(F.col("decoded") * 8)
+    return _tracks(spark, d).select("track", plan.peak_bandwidth(rate, F.lit(48000), t % 4 * 120 + 120, F.lit(2), t % 2 * 24).alias("bandwidth"))

@@ -29,10 +29,26 @@ def gain_resolve(spark, d):
     return _parts(spark, d).select("id", fn.gain_of(F.col("tags")).alias("gain_db"))
 
 
-@query("gain_format", "SELECT p_partkey AS id, printf('%+.2f dB', round((p_retailprice % 40) - 20, 2)) AS text, least(round((p_retailprice % 40) - 20, 2), 12.0, round(-20 * log10(0.5 + p_size / 100), 6) + 0.0) AS clamped FROM part")
+@query(
+    "gain_format",
+    """SELECT p_partkey AS id, printf('%+06.2f dB', least(greatest(round((p_retailprice % 40) - 20, 2) * 8, -99.99), 99.99)) AS text, printf('%.6f', least(greatest(p_size / 4.0 - 1, 0), 9.999999)) AS peak FROM part""",
+)
 def gain_format(spark, d):
-    peak = 0.5 + F.col("p_size") / 100
-    return _parts(spark, d).select("id", fn.format_gain(F.col("gain")).alias("text"), F.least(F.col("gain"), F.lit(12.0), F.round(-20 * F.log10(peak), 6) + 0.0).alias("clamped"))
+    """Gains and peaks of fixed width, beyond their ranges too."""
+    return _parts(spark, d).select("id", fn.format_gain(F.col("gain") * 8).alias("text"), fn.format_peak(F.col("p_size") / 4.0 - 1).alias("peak"))
+
+
+@query(
+    "gain_request",
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN least(p_size / 2.0 - 5, 12) WHEN 1 THEN least(coalesce(track, 0), 12) WHEN 2 THEN least(coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_size / 5.0 END, track, 0), 12) ELSE 0 END AS gain_db
+FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 5 <> 0 THEN round((p_retailprice % 40) - 20, 2) WHEN p_partkey % 2 = 0 THEN (p_partkey % 4000 - 2000) / 256.0 + 5 END AS track FROM part)""",
+)
+def gain_request(spark, d):
+    """The gain of a request: a fixed value, the track's tag, or the album's and else the track's; none below a missing tag."""
+    album = F.when(F.col("id") % 3 == 0, F.array((F.col("p_size") / 5.0).cast("string")))
+    tags = F.map_filter(F.map_concat("tags", F.create_map(F.lit("REPLAYGAIN_ALBUM_GAIN"), album)), lambda _, v: v.isNotNull())
+    mode = F.element_at(F.array(*map(F.lit, ("fixed", "track", "album", "off"))), (F.col("id") % 4 + 1).cast("int"))
+    return _parts(spark, d).select("id", fn.resolve_gain(mode, F.col("p_size") / 2.0 - 5, tags).alias("gain_db"))
 
 
 @query(
@@ -101,15 +117,15 @@ def sniff_containers(spark, d):
     return table(spark, d, "pages").select("page_id", media.sniff(data, ext).alias("container"))
 
 
-@query("text_decode", "SELECT doc_id, substr(text, 1, 50) AS head FROM documents")
+@query("text_decode", "SELECT doc_id, text FROM documents")
 def text_decode(spark, d):
-    """Texts stored as UTF-8, with a byte order mark, as UTF-16 and as Windows-1252 (where it holds them) come back alike."""
-    head = F.substring("text", 1, 50)
+    """Whole texts stored as UTF-8, with a byte order mark, as UTF-16 and as Windows-1252 (where it holds them) come back alike."""
+    head = F.col("text")
     latin = ~head.rlike("[^\\x00-\\xFF]")
     mark = F.unhex(F.lit("EFBBBF"))
     k = F.col("doc_id") % 4
     data = F.when(k == 0, F.concat(mark, F.encode(head, "UTF-8"))).when(k == 1, F.encode(head, "UTF-16")).when((k == 2) & latin & ~F.is_valid_utf8(fn.to_windows_1252(head).cast("string")), fn.to_windows_1252(head)).otherwise(F.encode(head, "UTF-8"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", fn.decode_text(data).alias("head"))
+    return table(spark, d, "documents").select("doc_id", fn.decode_text(data).alias("text"))
 
 
 @query(
