@@ -69,21 +69,33 @@ def release_envelope(rows: DataFrame, keys: tuple[str, ...], order: str, peak: C
     return need.withColumn("__u", deepest).withColumn("gain", 1 - F.coalesce(F.exp(F.col("__u") + F.col(order) * decay), F.lit(0.0))).drop("__m", "__u")
 
 
+def running_max(x: np.ndarray, width: int) -> np.ndarray:
+    """The maximum of every ``width`` neighbours, by windows that double."""
+    n, have = len(x) - width + 1, 1
+    while have * 2 <= width:
+        x = np.maximum(x[:-have], x[have:])
+        have *= 2
+    return np.maximum(x[:n], x[width - have : width - have + n])
+
+
 def limit(planes: np.ndarray, rate: float, ceiling_db: float = CEILING_DB) -> np.ndarray:
-    """Look-ahead limiting of channels x frames: minimum hold, release, two box averages in 2^-40 fixed point, clamp."""
+    """Look-ahead limiting of channels x frames: true-peak detector, minimum hold, release, two box averages in 2^-40 fixed point, clamp.
+
+    The release is the closed form of ``release_envelope`` as a running maximum.
+    """
+    from sampleloom.operators.filters import frame_peaks
+
     ceiling = 10 ** (ceiling_db / 20)
     look = max(1, round(LOOK_AHEAD_S * rate))
     n = planes.shape[1]
     if not n:
         return planes
-    peak = np.nan_to_num(np.abs(planes.astype(np.float64)), nan=0.0).max(axis=0)
-    padded = np.concatenate([peak, np.zeros(look)])
-    hold = np.lib.stride_tricks.sliding_window_view(padded, look + 1).max(axis=1)
+    hold = running_max(np.concatenate([frame_peaks(planes, int(rate)), np.zeros(look)]), look + 1)
     m = np.where(hold > ceiling, ceiling / np.maximum(hold, 1e-300), 1.0)
-    a, g, rel = pole(LIMITER_RELEASE_S, rate), 1.0, np.empty(n)
-    for k, want in enumerate(m.tolist()):
-        g = min(want, g + (1 - g) * a)
-        rel[k] = g
+    fall = np.arange(n) * math.log(1 - pole(LIMITER_RELEASE_S, rate))
+    with np.errstate(divide="ignore"):
+        deepest = np.maximum.accumulate(np.log(1 - m) - fall)
+    rel = np.minimum(m, 1 - np.exp(deepest + fall))
     first = look // 2 + 1
     smooth = rel
     for width in (first, look + 1 - first):

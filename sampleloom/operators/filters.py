@@ -15,6 +15,8 @@ from sampleloom.operators.segments import map_segments
 #: Attenuation (dB), pass band and stop band (parts of the lower Nyquist frequency) of the resampler's qualities.
 QUALITIES = {"hq": (115.0, 0.91, 1.09), "fast": (72.0, 0.85, 1.15)}
 TRUE_PEAK_TAPS, TRUE_PEAK_BETA = 12, 6.0
+#: Windows of interpolation that share a matrix product.
+_WINDOWS = 24
 
 
 def _step(sections, x: float, state: np.ndarray) -> tuple[float, np.ndarray]:
@@ -117,7 +119,7 @@ def resample(chunks: DataFrame, rate_in: int, rate_out: int, quality: str = "hq"
             y = resample_span(planes, start, first, last, up, down, quality)
             for a in range(0, last - first, 4096):
                 part = y[:, a : a + 4096]
-                yield {"pos": first + a, "n": part.shape[1], "discont": False, "pcm": part.tolist()}
+                yield {"pos": first + a, "n": part.shape[1], "discont": False, "pcm": part}
 
     return map_segments(chunks, segment, half, half, kernel, "pos bigint, n int, discont boolean, pcm array<array<float>>", keys)
 
@@ -131,26 +133,67 @@ def true_peak_bank(factor: int) -> np.ndarray:
     return taps / taps.sum(axis=1, keepdims=True)
 
 
+def _oversampling(rate: int) -> int:
+    return 4 if rate < 96000 else 2 if rate <= 192000 else 1
+
+
 def true_peak_of(planes: np.ndarray, rate: int, before: bool = True, after: bool = True) -> float:
     """``before`` and ``after``: the track begins or ends here, so silence lies beyond; else only what has real neighbours counts.
 
     The largest magnitude of the samples and of the signal between them: 4 points a sample below 96 kHz, 2 up to and at 192 kHz."""
-    factor = 4 if rate < 96000 else 2 if rate <= 192000 else 1
+    factor = _oversampling(rate)
     peak = float(np.abs(planes).max(initial=0.0))
     if factor > 1 and planes.shape[1]:
         padded = np.pad(planes.astype(np.float64), ((0, 0), (TRUE_PEAK_TAPS * before, TRUE_PEAK_TAPS * after)))
         if padded.shape[1] < TRUE_PEAK_TAPS:
             return peak
-        windows = np.lib.stride_tricks.sliding_window_view(padded, TRUE_PEAK_TAPS, axis=1)
-        peak = max(peak, float(np.abs(windows @ true_peak_bank(factor).T).max(initial=0.0)))
+        between = _between(padded, factor)
+        peak = max(peak, float(between.max(initial=0.0)), -float(between.min(initial=0.0)))
+    return peak
+
+
+def _between(padded: np.ndarray, factor: int) -> np.ndarray:
+    """channels x windows x phases: the points between the two middle samples of every window of TRUE_PEAK_TAPS.
+
+    Neighbouring windows share a matrix product: a block of samples times a
+    banded matrix gives all points of the windows that begin in it.
+    """
+    bank = true_peak_bank(factor)
+    phases, width = len(bank), _WINDOWS + TRUE_PEAK_TAPS - 1
+    band = np.zeros((width, _WINDOWS, phases))
+    for k in range(_WINDOWS):
+        band[k : k + TRUE_PEAK_TAPS, k] = bank.T
+    channels, n = padded.shape
+    windows = n - TRUE_PEAK_TAPS + 1
+    blocks = -(-windows // _WINDOWS)
+    out = np.empty((channels, blocks, _WINDOWS * phases))
+    filled = np.zeros((blocks - 1) * _WINDOWS + width)
+    for c in range(channels):
+        filled[:n] = padded[c]
+        rows = np.lib.stride_tricks.as_strided(filled, (blocks, width), (_WINDOWS * filled.strides[0], filled.strides[0]))
+        np.matmul(np.ascontiguousarray(rows), band.reshape(width, -1), out=out[c])
+    return out.reshape(channels, -1, phases)[:, :windows]
+
+
+def frame_peaks(planes: np.ndarray, rate: int) -> np.ndarray:
+    """Of each frame the largest magnitude over all channels of its sample and of the points up to the next one."""
+    peak = np.nan_to_num(np.abs(planes.astype(np.float64)), nan=0.0).max(axis=0)
+    factor = _oversampling(rate)
+    if factor > 1 and planes.shape[1]:
+        half = TRUE_PEAK_TAPS // 2
+        padded = np.pad(np.nan_to_num(planes.astype(np.float64), nan=0.0), ((0, 0), (half - 1, half)))
+        peak = np.maximum(peak, np.abs(_between(padded, factor)).max(axis=(0, 2)))
     return peak
 
 
-def true_peak(chunks: DataFrame, rate: int, segment: int = 1 << 18, keys: tuple[str, ...] = ("source_id", "track_id")) -> DataFrame:
-    """keys, true_peak of each track."""
+def true_peak(chunks: DataFrame, rate: int, segment: int = 1 << 18, keys: tuple[str, ...] = ("source_id", "track_id"), bits: int = 0) -> DataFrame:
+    """keys, true_peak of each track: the meter of peaks alone. ``bits``: pcm holds integers of this depth, not floats."""
+    if rate <= 0:
+        raise ValueError("the rate of a meter must be positive")
+    scale = 1.0 / (1 << bits - 1) if bits else 1.0
 
     def kernel(planes, start, lo, hi):
-        yield {"peak": true_peak_of(planes, rate, start == 0, start + planes.shape[1] < hi + TRUE_PEAK_TAPS)}
+        yield {"peak": scale * true_peak_of(planes, rate, start == 0, start + planes.shape[1] < hi + TRUE_PEAK_TAPS)}
 
     return map_segments(chunks, segment, TRUE_PEAK_TAPS, TRUE_PEAK_TAPS, kernel, "peak double", keys).groupBy(*keys).agg(F.max("peak").alias("true_peak"))
 

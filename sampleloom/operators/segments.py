@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sampleloom.core.arrow import table
 from sampleloom.core.schemas import struct
 
 #: Of (planes, first position of planes, from, to): planes hold the halo, [from, to) is the segment's own part of the track.
@@ -51,6 +52,6 @@ def map_segments(chunks: DataFrame, frames: int, before: int, after: int, kernel
         own = min((segment + 1) * frames, end)
         found = list(kernel(whole, start, segment * frames, own)) if own > segment * frames else []
         names = [k.as_py() for k in key[:-1]]
-        return pa.Table.from_pylist([dict(zip(keys, names, strict=True)) | r for r in found], schema=arrow)
+        return table([dict(zip(keys, names, strict=True)) | r for r in found], arrow)
 
     return rows.groupBy(*keys, "segment").applyInArrow(run, schema)

@@ -69,7 +69,7 @@ class Chain:
             nodes.append(Node("dynamics", "voice-1", dynamics.horizon_frames([dynamics.RELEASE_S], rate)))
         level = samples.gain_factor(spec.gain_db) * (samples.max_matrix_gain(self.matrix) if self.matrix else 1.0)
         if spec.out_bits and (level > 1 or spec.dynamics != "off" or rate != spec.rate):
-            nodes.append(Node("limiter", "limiter-1", dynamics.horizon_frames([dynamics.LIMITER_RELEASE_S], rate)))
+            nodes.append(Node("limiter", "limiter-2", dynamics.horizon_frames([dynamics.LIMITER_RELEASE_S], rate)))
         if spec.out_bits:
             narrower = changes or spec.sample_type == "float" or spec.out_bits < spec.bit_depth
             if narrower:
@@ -111,7 +111,7 @@ class Chain:
                 chunks = chunks.withColumn("pcm", samples.gain(pcm, spec.gain_db))
             elif node.name in ("dynamics", "limiter"):
                 kernel = _compressing(rate) if node.name == "dynamics" else _limiting(rate)
-                chunks = map_segments(chunks, max(SEGMENT, 4 * node.horizon), node.horizon, int(rate * dynamics.LOOK_AHEAD_S) + 1, kernel, _OUT, keys)
+                chunks = map_segments(chunks, max(SEGMENT, 4 * node.horizon), node.horizon + filters.TRUE_PEAK_TAPS, int(rate * dynamics.LOOK_AHEAD_S) + 1 + filters.TRUE_PEAK_TAPS, kernel, _OUT, keys)
             elif node.name == "dither":
                 chunks = dither.dithered(chunks.select(*keys, "pos", "n", "discont", "pcm"), spec.out_bits, spec.seed)
             elif node.name == "quantize":
@@ -124,7 +124,7 @@ class Chain:
 def _pieces(planes: np.ndarray, first: int):
     for a in range(0, planes.shape[1], 4096):
         part = planes[:, a : a + 4096]
-        yield {"pos": first + a, "n": part.shape[1], "discont": False, "pcm": part.tolist()}
+        yield {"pos": first + a, "n": part.shape[1], "discont": False, "pcm": part}
 
 
 def _compressing(rate: int):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sampleloom.core.arrow import table
 from sampleloom.core.schemas import CHUNKS, PACKETS, SOURCES, STANDARD_CHUNK, TRACKS, struct
 from sampleloom.sources import alac, containers, flac, mux, pcm, wavpack
 
@@ -41,7 +42,7 @@ def _rows(kind: str, source: str, data: bytes, ext: str) -> Iterator[dict]:
             yield {"source_id": source, "track_id": 0, "seq": seq, "pts": pts, "dur": dur, "sync": sync, "data": body}
         else:
             planes = _decode(track, body)
-            yield {"source_id": source, "track_id": 0, "pos": pts, "n": planes.shape[1], "discont": False, "pcm": planes.tolist()}
+            yield {"source_id": source, "track_id": 0, "pos": pts, "n": planes.shape[1], "discont": False, "pcm": planes}
 
 
 def _decode(track: pcm.Track, packet: bytes) -> np.ndarray:
@@ -74,13 +75,13 @@ def _parsing(kind: str, strict: bool):
                     for row in _rows(kind, source, content.as_py(), ext):
                         rows.append(row)
                         if len(rows) >= 64:
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            yield from table(rows, arrow).to_batches()
                             rows = []
                 except pcm.Malformed:
                     if strict:
                         raise
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    yield from table(rows, arrow).to_batches()
 
     return run
 
@@ -123,7 +124,8 @@ def encode_files(chunks: DataFrame, rate: int, fmt: str = "wav", bits: int = 16)
         from sampleloom.operators.dither import quantize
 
         pos = group["pos"].to_numpy()
-        planes = np.concatenate([np.array(group["pcm"][int(k)].as_py(), dtype=np.float32) for k in np.argsort(pos, kind="stable")], axis=1)
+        parts = [group["pcm"][int(k)].values for k in np.argsort(pos, kind="stable")]
+        planes = np.concatenate([np.array([c.values.to_numpy(zero_copy_only=False) for c in p], dtype=np.float32) for p in parts], axis=1)
         whole = np.array([quantize(c, bits)[0] for c in planes])
         return pa.table({"source_id": [key[0].as_py()], "track_id": pa.array([key[1].as_py()], pa.int32()), "data": [ENCODERS[fmt](whole, rate, bits)]})
 

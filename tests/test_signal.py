@@ -156,3 +156,67 @@ def test_mix_matrices():
         assert sum(c * c for c in row) <= 1 + 1e-12
     assert samples.mix_matrix(0x3F, 2)[0][3] == 0
     assert samples.max_matrix_gain([[0.5, -0.7], [0.1, 0.2]]) == pytest.approx(1.2)
+
+
+def test_limiter_equals_the_plain_recursion():
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((2, 6000)) * rng.uniform(0, 1.5, 6000)).astype(np.float32)
+    rate, ceiling = 8000, 10 ** (dynamics.CEILING_DB / 20)
+    look, peak = round(dynamics.LOOK_AHEAD_S * rate), filters.frame_peaks(x, rate)
+    g, rel = 1.0, []
+    for k in range(x.shape[1]):
+        m = min(1.0, ceiling / peak[k : k + look + 1].max())
+        g = min(m, g + (1 - g) * dynamics.pole(dynamics.LIMITER_RELEASE_S, rate))
+        rel.append(g)
+    want = np.array(rel)
+    for width in (look // 2 + 1, look - look // 2):
+        padded = np.concatenate([np.full(width - 1, want[0]), want])
+        want = np.array([padded[k : k + width].mean() for k in range(len(want))])
+    assert np.allclose(dynamics.limit(x, rate), np.clip(x * want, -ceiling, ceiling), atol=1e-6)
+
+
+def test_frame_peaks_are_those_of_the_true_peak_meter():
+    rng = np.random.default_rng(5)
+    for rate, n in ((48000, 1), (48000, 11), (96000, 100), (48000, 1000), (200000, 50)):
+        x = rng.standard_normal((2, n)).astype(np.float32)
+        got = filters.frame_peaks(x, rate)
+        assert got.shape == (n,) and (got >= np.abs(x).max(axis=0)).all()
+        # the meter also sees the points before the first sample, the detector those from each sample on
+        assert got.max() <= filters.true_peak_of(x, rate) + 1e-12
+    sine = np.sin(2 * np.pi * (np.arange(400) + 0.5) / 4)[None]
+    assert np.abs(sine).max() < 0.71 and 0.98 < filters.frame_peaks(sine, 48000)[100:300].max() < 1.02
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 50])
+def test_running_max(width):
+    x = np.random.default_rng(width).standard_normal(50)
+    assert (dynamics.running_max(x, width) == [x[k : k + width].max() for k in range(51 - width)]).all()
+
+
+def test_peak_meter_of_integers_and_floats(spark):
+    x = np.random.default_rng(6).standard_normal((2, 3000)).clip(-1, 1).astype(np.float32) * np.float32(0.5)
+    ints = np.round(x * 32768).astype(np.int32)
+    schema = "source_id string, track_id int, pos bigint, pcm array<array<int>>"
+    rows = spark.createDataFrame([("t", 0, a, ints[:, a : a + 700].tolist()) for a in range(0, 3000, 700)], schema)
+    got = filters.true_peak(rows, 48000, bits=16).first()["true_peak"]
+    assert got == pytest.approx(filters.true_peak_of(ints / 32768, 48000), abs=1e-6)
+    with pytest.raises(ValueError):
+        filters.true_peak(rows, 0)
+
+
+def test_dither_by_blocks_equals_the_formula():
+    x = np.random.default_rng(7).standard_normal(20000).astype(np.float32)
+    noise, top = dither.tpdf(3, 1, np.arange(20000) + 5), 1 << 15
+    got, overs = dither.quantize(x, 16, noise)
+    assert (got == np.clip(np.floor(x.astype(np.float64) * top + noise + 0.5), -top, top - 1)).all() and overs == (np.abs(x) > 1).sum()
+    base = (3 ^ (2 * int(dither.GOLDEN))) % 2**64
+
+    def unit(z):
+        z = (z + int(dither.GOLDEN)) % 2**64
+        z = (z ^ z >> 30) * int(dither.FIRST_MULTIPLIER) % 2**64
+        z = (z ^ z >> 27) * int(dither.SECOND_MULTIPLIER) % 2**64
+        return ((z ^ z >> 31) >> 11) * 2.0**-53
+
+    for k in (0, 9000, 19999):
+        at = (base ^ 0) + 2 * (k + 5)
+        assert noise[k] == unit(at % 2**64) - unit((at + 1) % 2**64)
