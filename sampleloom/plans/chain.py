@@ -180,4 +180,10 @@ def two_pass_gain(measured: DataFrame, target_lufs: float = -18.0, ceiling_db: f
     return measured.withColumn("gain_db", F.when(F.col("lufs") > float("-inf"), F.greatest(F.lit(-ceiling_db), F.least(want, F.lit(ceiling_db)))).otherwise(0.0))
 
 
+def member_spec(rate: int, layout: int, sample_type: str, bit_depth: int, to_rate: int, to_channels: int, to_type: str, to_bits: int, quality: str = "hq") -> Spec:
+    """What brings a timeline's member to the timeline's format.
 
+    Dither is always triangular: it depends on the position alone, so a member
+    that is started in its middle gives the samples of a whole run.
+    """
+    return Spec(rate, layout, sample_type, bit_depth, to_rate, to_channels, 0 if to_type == "float" else to_bits, quality=quality)

@@ -168,3 +168,20 @@ def peak_bandwidth(bitrate: Column, rate: Column, frame: Column, channels: Colum
     """Bits per second to declare: the coded rate (or that of the samples where none is declared), 64 bits of box overhead per whole frame a second, and a margin."""
     base = F.when(bitrate == 0, rate * channels * F.greatest(bits, F.lit(16))).otherwise(bitrate)
     return (base + div(rate, frame) * 64 + 2000).cast("long")
+
+
+#: Fixed value: seconds of output before a segment that the encoder is fed with.
+PRIME_SECONDS = 0.1
+
+
+def prime_starts(p0: Column, rate: Column, frame: Column, horizon_s: Column, floor: Column) -> tuple[Column, Column]:
+    """Where the chain and the encoder begin, so that a segment from ``p0`` has the samples and packets of a whole run.
+
+    Whole frames; the chain's horizon comes in front of the encoder's window,
+    and only the chain may begin below 0, down to ``floor``.
+    """
+    whole = lambda n: F.floor((n + frame - 1) / frame).cast("long") * frame
+    encoder = whole(F.floor(rate * F.lit(PRIME_SECONDS)).cast("long"))
+    chain = encoder + whole(F.floor(horizon_s * rate).cast("long"))
+    lowest = F.when(floor < 0, -F.floor(-floor / frame)).otherwise(F.floor(floor / frame)).cast("long") * frame
+    return F.greatest(lowest, p0 - chain), F.greatest(F.lit(0).cast("long"), p0 - encoder)

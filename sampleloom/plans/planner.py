@@ -80,13 +80,53 @@ def timeline_digest(members: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(base64url(F.unhex(F.sha2(text, 256))).alias("digest"))
 
 
-def evict(entries: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """Entries to remove, oldest access first, until the rest keeps to ``budget`` bytes.
+def evict(entries: DataFrame, keys: list[str], budget: int, max_age: Column | None = None, pinned: Column | None = None) -> DataFrame:
+    """Entries to remove, oldest access first, until the rest keeps to ``budget`` bytes (0: any number) and none is too old.
 
-    An entry goes when it and everything accessed after it exceed the budget.
+    An entry goes when it and everything accessed after it exceed the budget,
+    or when ``max_age`` holds.  Pinned entries stay, but their bytes count.
     """
     newest = Window.partitionBy(*keys).orderBy(F.desc("last_access"), F.desc("entry_id")).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("kept_bytes", F.sum("size").over(newest)).where(F.col("kept_bytes") > budget)
+    nothing = F.lit(0).cast("long")
+    if pinned is None:
+        rows = entries.withColumn("kept_bytes", F.sum("size").over(newest))
+    else:
+        held = F.sum(F.when(pinned, F.col("size")).otherwise(nothing)).over(Window.partitionBy(*keys))
+        rows = entries.withColumn("kept_bytes", F.sum(F.when(pinned, nothing).otherwise(F.col("size"))).over(newest) + held).where(~pinned)
+    over = F.col("kept_bytes") > budget if budget else F.lit(False)
+    return rows.where(over if max_age is None else over | max_age)
+
+
+def cache_stats(entries: DataFrame, lookups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entries, bytes, hits, misses: the shape of each store; ``lookups`` has a boolean ``hit``."""
+    shape = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
+    asked = lookups.groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    both = shape.join(asked, keys, "full")
+    return both.select(*keys, *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("entries", "bytes", "hits", "misses")])
+
+
+def bounded_map(uses: DataFrame, keys: list[str], entry: str, used: str, capacity: int = MAX_BOUNDED) -> DataFrame:
+    """What a map of ``capacity`` entries holds after these uses, when the least recently used one makes room: the last used."""
+    last = uses.groupBy(*keys, entry).agg(F.max(used).alias(used))
+    order = Window.partitionBy(*keys).orderBy(F.desc(used), F.desc(entry))
+    return last.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= capacity).drop("__r")
+
+
+def trim_sidecars(blobs: DataFrame, keys: list[str], budget: int, largest: int) -> DataFrame:
+    """Index sidecars to delete, with ``reason``: leftovers and oversized ones at once, then the oldest beyond the budget.
+
+    ``blobs`` has name, size and mtime; what goes at once does not count against the others.
+    """
+    junk = F.col("name").endswith(".tmp") | (F.col("size") > largest)
+    newest = Window.partitionBy(*keys).orderBy(F.desc("mtime"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = F.sum(F.when(junk, F.lit(0).cast("long")).otherwise(F.col("size"))).over(newest)
+    reason = F.when(junk, "leftover").when(F.col("__kept") > budget, "budget")
+    return blobs.withColumn("__kept", kept).withColumn("reason", reason).drop("__kept").where("reason IS NOT NULL")
+
+
+def capable(names: Column, available: Column) -> Column:
+    """The preferred names that are available, in order of preference."""
+    return F.filter(names, lambda n: F.array_contains(available, n))
 
 
 def claim_oldest(jobs: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sampleloom.core.errors import error
 from sampleloom.core.positions import div, sample_time_ns
+from sampleloom.core.schemas import DEFAULT_LAYOUTS
 
 MAX_MEMBERS = 1000
 CROSSFADE_BYTES = 16 << 20
@@ -27,6 +28,26 @@ def boundaries(members: DataFrame, keys: list[str], crossfade: int = 0) -> DataF
     return members.withColumn("offset", F.coalesce(F.sum(F.col("len") - crossfade).over(before), F.lit(0).cast("long")))
 
 
+def envelope(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rate, channels, bit_depth, sample_type, layout and an error or null: the format all members are brought to.
+
+    The largest of each property; float (32 bits) if any member is.  The layout
+    is the usual one for the channels: a member of as many channels must have
+    it, since members are mixed up or down but not relabelled.
+    """
+    usual = F.create_map(*[F.lit(x) for pair in DEFAULT_LAYOUTS.items() for x in pair])
+    layouts = F.collect_set(F.struct("channels", "layout"))
+    out = tracks.groupBy(*keys).agg(
+        F.max("rate").alias("rate"), F.max("channels").alias("channels"), F.max("bit_depth").alias("depth"), F.bool_or(F.col("sample_type") == "float").alias("float"),
+        F.count_if(F.coalesce(F.col("samples"), F.lit(-1)) < 0).alias("open"), layouts.alias("layouts"),
+    )
+    out = out.withColumn("layout", usual[F.col("channels").cast("int")])
+    other = F.exists("layouts", lambda f: (f["channels"] == F.col("channels")) & (f["layout"] != F.col("layout")))
+    problem = F.when(F.col("open") > 0, error("invalid-request", "a member has no declared length")).when(other, error("unsupported-format", "speakers of a member are not the usual ones"))
+    depth, kind = F.when(F.col("float"), 32).otherwise(F.col("depth")), F.when(F.col("float"), "float").otherwise("int")
+    return out.select(*keys, "rate", "channels", depth.alias("bit_depth"), kind.alias("sample_type"), "layout", problem.alias("error"))
+
+
 def concat_track(members: DataFrame, keys: list[str], crossfade: int = 0) -> DataFrame:
     """keys, members, total samples (sum of lengths less the overlaps) and an error or null.
 

@@ -9,7 +9,7 @@ from importlib import import_module
 
 from sampleloom.registry import QUERIES
 
-for _family in ("signal", "timeline", "packets", "planner", "text", "streams", "relational", "media"):
+for _family in ("signal", "timeline", "packets", "planner", "service", "text", "streams", "relational", "media"):
     import_module(f"sampleloom.queries.{_family}")
 
 __all__ = ["QUERIES"]

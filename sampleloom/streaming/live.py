@@ -2,13 +2,14 @@
 
 The offset is the next media sequence.  Reading starts three segments behind the
 edge, segments below the cursor are not read again, and a playlist that lies
-wholly below the cursor was restarted: the source follows it, and its first
-segment is marked as a discontinuity.
+wholly below the cursor was restarted: the source goes on three segments behind
+its new edge, and the first of them is marked as a discontinuity.  Segments that
+were offered are held until they are committed, so a batch that is tried again
+is the same even if they have left the playlist.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import time
 from collections.abc import Iterator
@@ -76,6 +77,19 @@ def parse_playlist(text: str) -> Playlist:
     return out
 
 
+def format_lock(playlist: Playlist) -> str | None:
+    """The codecs on which all variants of a master playlist agree; ValueError if they do not, since a decoder is built once."""
+    found = {v.get("CODECS", "") for v in playlist.variants}
+    if len(found) > 1:
+        raise ValueError(f"variants disagree on their codecs: {', '.join(sorted(found))}")
+    return found.pop() if found else None
+
+
+def reload_s(playlist: Playlist, override: float = 0.0) -> float:
+    """Seconds between reloads: what was asked for, else the target duration, but never too short; for a processing-time trigger."""
+    return max(override if override > 0 else playlist.target, LEAST_RELOAD_S)
+
+
 def backoff_s(attempt: int) -> float:
     return min(FIRST_BACKOFF_S * 2**attempt, LAST_BACKOFF_S)
 
@@ -115,33 +129,49 @@ class _Segments(InputPartition):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.behind = options["path"], int(options.get("behind", BEHIND))
+        #: Segments that were offered and are not committed, by epoch and sequence.
+        self.held: dict[tuple[int, int], tuple[str, float, bool]] = {}
+        self.epoch, self.edge = 0, -1
 
     def _load(self) -> Playlist:
-        return parse_playlist(fetch(self.path))
+        p = parse_playlist(fetch(self.path))
+        format_lock(p)
+        edge = p.sequence + len(p.segments)
+        if p.segments and edge < self.edge:
+            self.epoch += 1
+        if p.segments:
+            self.edge = edge
+        for k, segment in enumerate(p.segments, p.sequence):
+            self.held.setdefault((self.epoch, k), segment)
+        return p
 
     def initialOffset(self) -> dict:
         p = self._load()
         first = p.sequence if p.ended else p.sequence + max(len(p.segments) - self.behind, 0)
-        return {"sequence": first, "epoch": 0}
+        return {"sequence": first, "epoch": self.epoch}
 
     def latestOffset(self) -> dict:
-        p = self._load()
-        return {"sequence": p.sequence + len(p.segments), "epoch": int(os.stat(self.path).st_ino)}
+        self._load()
+        return {"sequence": max(self.edge, 0), "epoch": self.epoch}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        p, lo = self._load(), start["sequence"]
-        restarted = p.sequence + len(p.segments) < lo
+        self.epoch, before = max(self.epoch, end["epoch"]), start["sequence"]
+        if (end["epoch"], end["sequence"] - 1) not in self.held:
+            self._load()  # a batch of an earlier run of the query
         rows = []
-        for k, (uri, seconds, broken) in enumerate(p.segments, p.sequence):
-            if restarted or lo <= k < end["sequence"]:
-                rows.append((k, uri, seconds, broken or (restarted and k == p.sequence)))
+        own = sorted((k, s) for (epoch, k), s in self.held.items() if epoch == end["epoch"] and k < end["sequence"])
+        if end["epoch"] > start["epoch"] or end["sequence"] < before:
+            rows = [(k, uri, seconds, broken or not i) for i, (k, (uri, seconds, broken)) in enumerate(own[-self.behind :])]
+        else:
+            rows = [(k, *s) for k, s in own if k >= before]
         return [_Segments(rows)]
 
     def read(self, part) -> Iterator[tuple]:
         yield from part.rows
 
     def commit(self, end: dict) -> None:
-        pass
+        done = (end["epoch"], end["sequence"])
+        self.held = {at: s for at, s in self.held.items() if at >= done}
 
 
 def register(spark) -> None:

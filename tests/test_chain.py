@@ -51,3 +51,12 @@ def test_masking(spark):
     assert psycho.bark(1000) == pytest.approx(8.5, abs=0.3) and psycho.quiet_threshold_db(3300) < psycho.quiet_threshold_db(100)
     rows = psycho.masking(chunk_frame(spark, {"t": tone(0.2)[None]}, 2048), 48000).collect()
     assert len(rows) == 5 and len(rows[0]["threshold"]) == psycho.BANDS
+
+
+def test_member_is_brought_to_the_timelines_format():
+    same = chain.Chain(chain.member_spec(48000, 0x3, "int", 16, 48000, 2, "int", 16))
+    assert same.names == []
+    other = chain.Chain(chain.member_spec(44100, 0x4, "int", 16, 48000, 2, "int", 24))
+    assert other.names[:3] == ["convert", "resample", "mix"] and other.names[-1] == "dither"
+    wide = chain.Chain(chain.member_spec(48000, 0x3, "int", 16, 48000, 2, "float", 32))
+    assert wide.names == ["convert"]

@@ -230,3 +230,48 @@ def test_signatures_and_ids(spark):
     assert bits.crc16(b"123456789") == 0xFEE8 and bits.crc8(b"123456789") == 0xF4
     ulid = media_functions.mint_ulid(1_700_000_000_000, 5)
     assert len(ulid) == 26 and ulid.endswith("05")
+
+
+def offered(reader, start, end):
+    return [r for p in reader.partitions(start, end) for r in p.rows]
+
+
+def test_live_batches_can_be_read_again(tmp_path):
+    path = tmp_path / "live.m3u8"
+    path.write_text(playlist(10, list("abcde"), False))
+    reader = live._Reader({"path": str(path)})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert start["sequence"] == 12 and end["sequence"] == 15
+    first = offered(reader, start, end)
+    assert [r[0] for r in first] == [12, 13, 14]
+    path.write_text(playlist(20, list("xy"), False))  # all that was offered has left the playlist
+    assert offered(reader, start, end) == first
+    later = reader.latestOffset()
+    reader.commit(end)
+    assert [r[:2] for r in offered(reader, end, later)] == [(20, "x"), (21, "y")]
+    reader.commit(later)
+    assert reader.held == {}
+
+
+def test_live_restart_goes_on_at_the_new_edge(tmp_path):
+    path = tmp_path / "live.m3u8"
+    path.write_text(playlist(50, list("abc"), False))
+    reader = live._Reader({"path": str(path)})
+    before = (reader.initialOffset(), reader.latestOffset())[1]
+    path.write_text(playlist(0, list("pqrst"), False))
+    after = reader.latestOffset()
+    assert [(r[0], r[1], r[3]) for r in offered(reader, before, after)] == [(2, "r", True), (3, "s", False), (4, "t", False)]
+    # a new run of the query knows the offsets alone
+    again = live._Reader({"path": str(path)})
+    assert [r[0] for r in offered(again, before, after)] == [2, 3, 4]
+    fresh = live._Reader({"path": str(path)})
+    path.write_text(playlist(0, list("pqrstu"), False))
+    assert [r[0] for r in offered(fresh, after, fresh.latestOffset())] == [5]
+
+
+def test_variants_agree_and_reloads_have_a_floor():
+    master = '#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=5,CODECS="{}"\na.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=9,CODECS="{}"\nb.m3u8\n'
+    assert live.format_lock(live.parse_playlist(master.format("flac", "flac"))) == "flac"
+    with pytest.raises(ValueError):
+        live.format_lock(live.parse_playlist(master.format("flac", "opus")))
+    assert [live.reload_s(live.Playlist(target=t), o) for t, o in ((6.0, 0.0), (6.0, 2.0), (0.0, 0.0), (6.0, 0.01))] == [6.0, 2.0, 0.2, 0.2]
