@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sampleloom.core.arrow import table
+from sampleloom.core.errors import error
 from sampleloom.core.schemas import CHUNKS, PACKETS, SOURCES, STANDARD_CHUNK, TRACKS, struct
 from sampleloom.sources import alac, containers, flac, mux, pcm, wavpack
 
@@ -20,13 +21,37 @@ MAX_BYTES = 1 << 30
 
 
 def read_sources(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The files below a path (any file system of Spark), larger ones left out, with their identity ``length-mtime``."""
+    """The files below a path (any file system of Spark), larger ones left out (see ``refused_sources``; Spark lists no empty ones), with their identity ``length-mtime``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
     mtime = F.unix_micros("modificationTime") * 1000
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     return files.select(F.sha2("path", 256).alias("source_id"), "path", ext.alias("ext"), "length", mtime.alias("mtime_ns"), F.concat_ws("-", F.col("length").cast("string"), mtime.cast("string")).alias("identity"), "content")
 
 
+def refused_sources(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """source_id, path, length, error of the files that ``read_sources`` leaves out for their size; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > max_bytes)
+    problem = error("payload-too-large", F.concat(F.lit("file has "), F.col("length").cast("string"), F.lit(f" bytes, the limit is {max_bytes}")))
+    return files.select(F.sha2("path", 256).alias("source_id"), "path", "length", problem.alias("error"))
+
+
+def unreadable_sources(sources: DataFrame) -> DataFrame:
+    """source_id, path, error of the files of which ``probe`` makes no track."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for source, path, ext, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                try:
+                    containers.open_bytes(content.as_py(), ext)
+                except pcm.Malformed as e:
+                    found.append((source, path, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(3)], names=["source_id", "path", "message"])
+
+    rows = sources.select("source_id", "path", "ext", "content").mapInArrow(run, "source_id string, path string, message string")
+    return rows.select("source_id", "path", error("unsupported-format", F.col("message")).alias("error"))
+
+
 def _rows(kind: str, source: str, data: bytes, ext: str) -> Iterator[dict]:
     track, packets = containers.open_bytes(data, ext)
     if kind == "tracks":
@@ -91,7 +116,7 @@ def _table(sources: DataFrame, kind: str, strict: bool) -> DataFrame:
 
 
 def probe(sources: DataFrame, strict: bool = False) -> DataFrame:
-    """Track rows from headers alone; files that cannot be read give none, or fail the job if ``strict``."""
+    """Track rows from headers alone; files that cannot be read give none (see ``unreadable_sources``), or fail the job if ``strict``."""
     return _table(sources, "tracks", strict)
 
 
@@ -226,4 +251,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MediaDataSource)
 
 
-__all__ = ["MediaDataSource", "SOURCES", "decode_chunks", "encode_files", "packets", "probe", "read_sources", "register"]
+__all__ = ["MediaDataSource", "SOURCES", "decode_chunks", "encode_files", "packets", "probe", "read_sources", "refused_sources", "register", "unreadable_sources"]

@@ -275,3 +275,17 @@ def test_variants_agree_and_reloads_have_a_floor():
     with pytest.raises(ValueError):
         live.format_lock(live.parse_playlist(master.format("flac", "opus")))
     assert [live.reload_s(live.Playlist(target=t), o) for t, o in ((6.0, 0.0), (6.0, 2.0), (0.0, 0.0), (6.0, 0.01))] == [6.0, 2.0, 0.2, 0.2]
+
+
+def test_files_left_out_are_listed_with_their_reason(spark, tmp_path):
+    (tmp_path / "good.wav").write_bytes(pcm.write_wav(np.zeros((1, 100), np.int32), 8000, 16))
+    (tmp_path / "bad.wav").write_bytes(b"nothing of the kind")
+    (tmp_path / "short.wav").write_bytes(b"RIFF")
+    (tmp_path / "large.bin").write_bytes(bytes(5000))
+    sources = media.read_sources(spark, str(tmp_path), max_bytes=4000)
+    assert sources.count() == 3 and media.probe(sources).count() == 1
+    got = {r["path"].rsplit("/", 1)[1]: r["error"]["code"] for r in media.unreadable_sources(sources).collect()}
+    assert got == {"bad.wav": "unsupported-format", "short.wav": "unsupported-format"}
+    large = media.refused_sources(spark, str(tmp_path), 4000).collect()
+    assert [(r["length"], r["error"]["code"]) for r in large] == [(5000, "payload-too-large")]
+    assert media.refused_sources(spark, str(tmp_path)).count() == 0
