@@ -274,3 +274,87 @@ def test_leaks_anywhere_in_an_item_are_found(spark):
     both = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["id"]: r["item_ids"] for r in decontaminate.contaminated(both, bench).where("id >= 90000").collect()}
     assert len(passes) > 20 and sum(k in got[90_000 + k] for k in passes) >= 0.9 * len(passes)
+
+
+def test_common_subsequences_side_by_side():
+    rng = np.random.default_rng(7)
+    pairs = [(rng.integers(0, 6, rng.choice([1, 12, 40, 63, 64])), rng.integers(0, 8, rng.integers(0, 150))) for _ in range(120)]
+    bits = [np.array([sum(1 << k for k in np.flatnonzero(a == x).tolist()) for x in b.tolist()], dtype=np.uint64) for a, b in pairs]
+    got = decontaminate.common_subsequences(np.array([len(a) for a, _ in pairs]), np.concatenate(bits), np.array([len(b) for b in bits]))
+    assert got.tolist() == [brute_lcs(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def plain_hits(w, items, space):
+    """Every window of every row against every item, without any bound."""
+    hits = {}
+    for r in range(w.hi - w.lo):
+        lo, hi = int(w.first[r]), int(w.first[r + 1])
+        for at in range(lo, hi, decontaminate.STEP):
+            own = w.hashes[at : min(at + decontaminate.WINDOW, hi)]
+            v = space[decontaminate.feature_of(own)].sum(axis=0)
+            for k, item in enumerate(items.words):
+                if len(item) < decontaminate.WINDOW or np.isin(own, item).sum() < decontaminate.SHARED * len(own):
+                    continue
+                to = items.windows[items.window_first[k] : items.window_first[k] + items.window_count[k]]
+                near = w.hashes[max(lo, at - len(item)) : min(hi, at + decontaminate.WINDOW + len(item))]
+                share, answer = decontaminate.common_subsequence(item, near) / len(item), item[-decontaminate.ANSWER_WORDS :].tolist()
+                stands = share >= decontaminate.SURE or share >= decontaminate.LIKELY and any(near[j : j + len(answer)].tolist() == answer for j in range(len(near)))
+                if stands and (to @ v).max() >= decontaminate.COSINE * np.linalg.norm(v):
+                    hits[r, k] = max(share, hits.get((r, k), 0))
+    return [(r, k, share) for (r, k), share in sorted(hits.items())]
+
+
+def test_bounds_lose_nothing(monkeypatch):
+    """Items of all sizes, shared answers, edits of up to 60 %, few and many kinds of words, and pieces of every size."""
+    rng, found, likely = random.Random(12), 0, 0
+    space = np.random.default_rng(3).standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
+    for kinds, pieces in itertools.product((8, 60, 2000), (False, True)):
+        monkeypatch.setattr(decontaminate, "CELLS", 40 if pieces else 1 << 22)
+        monkeypatch.setattr(decontaminate, "PAIRS", 3 if pieces else 1 << 13)
+        monkeypatch.setattr(decontaminate, "NEAR_WORDS", 100 if pieces else 1 << 19)
+        some = lambda n, kinds=kinds: [f"w{min(int(rng.expovariate(4 / kinds)), kinds)}" for _ in range(n)]
+        items = [some(n) for n in (12, 13, 20, 40, 63, 64, 65, 130)]
+        items[3][-5:] = items[2][-5:]
+        texts = [None, "", "..."]
+        for item in items * 3:
+            part, keep = rng.choice([0, 0.15, 0.3, 0.45, 0.6]), len(item) - rng.choice([0, 5, 8])
+            copy = [x if k >= keep or rng.random() >= part else rng.choice(["new", some(1)[0]]) for k, x in enumerate(item)]
+            texts.append(" ".join(some(rng.randrange(60)) + copy + some(rng.randrange(60))))
+        block = decontaminate.Items([(k, " ".join(x)) for k, x in enumerate(items)], space)
+        for w in words_of(pa.array(texts, pa.string()), 3000, decontaminate.SYMBOLS):
+            got, want = decontaminate.find_hits(w, block, space), plain_hits(w, block, space)
+            assert got == want
+            found, likely = found + len(got), likely + sum(share < decontaminate.SURE for _, _, share in got)
+    assert found > 100 and likely > 10
+
+
+def test_windows_that_cannot_stand_are_not_compared(monkeypatch):
+    """Six in ten words of an item are too few without its answer, so these windows reach neither the cosine nor the subsequence."""
+    space = np.random.default_rng(3).standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
+    words, compared, plain = [f"w{k}" for k in range(40)], [], decontaminate._nearest
+    monkeypatch.setattr(decontaminate, "_nearest", lambda *a: compared.append(len(a[-1])) or plain(*a))
+    part = [x if k % 5 < 3 else f"new{k}" for k, x in enumerate(words)]
+    block = decontaminate.Items([(1, " ".join(words))], space)
+    for tail, stands in ((part[35:], False), (words[35:], True)):
+        text = " ".join(["before", "it", *part[:35], *tail, "after"])
+        hits = decontaminate.find_hits(next(words_of(pa.array([text]), 1 << 20, decontaminate.SYMBOLS)), block, space)
+        assert (bool(hits), sum(compared) > 0) == (stands, stands)
+
+
+def test_sums_of_passages_are_the_products(monkeypatch):
+    """C'C W and the document frequencies, with few and with all words in the dense part and passages in pieces."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(300))) for _ in range(30)] + [None, "", "..."]
+    c = []
+    for w in words_of(pa.array(texts, pa.string()), 1 << 30, decontaminate.SYMBOLS):
+        for a, b in itertools.pairwise(w.first.tolist()):
+            own = decontaminate.feature_of(w.hashes[a:b])
+            c += [np.bincount(own[k : k + decontaminate.PASSAGE], minlength=decontaminate.FEATURES) for k in range(0, len(own), decontaminate.PASSAGE)]
+    c = np.array(c)
+    for dense, passages in ((1, 4096), (20, 7), (256, 4096)):
+        monkeypatch.setattr(decontaminate, "DENSE", dense)
+        monkeypatch.setattr(decontaminate, "PASSAGES", passages)
+        got = next(decontaminate._summed(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
+        assert got.column(1).to_pylist() == [*(c > 0).sum(axis=0), len(c)]
+        z = np.stack([x.to_numpy()[:-1] for x in got.columns[2:]], axis=1)
+        assert np.allclose(z, c.T @ (c @ decontaminate.sketch_matrix().astype(float)), rtol=1e-4, atol=1e-3)
